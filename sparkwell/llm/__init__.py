@@ -1,0 +1,8 @@
+"""Operators for training-data pipelines. Nothing outside this subpackage imports it."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to executors by value, so they need no install there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
