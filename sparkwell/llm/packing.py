@@ -45,9 +45,6 @@ def default_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-_ENCODERS: dict = {}
-
-
 def encoder(json_path: str, ranks_path: str | None):
     """text -> list of ids, as the tokenizers library gives them.
 
@@ -55,21 +52,22 @@ def encoder(json_path: str, ranks_path: str | None):
     special strings go through the faster byte-pair library, whose ids are equal there (a
     test compares them); all other texts, and all texts without that file, go through
     tokenizers itself."""
-    key = (json_path, ranks_path)
-    if key in _ENCODERS:
-        return _ENCODERS[key]
     import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import re
 
-    from tokenizers import Tokenizer
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import tokenizers
 
-    slow = Tokenizer.from_file(json_path)
+    # Functions come here by value, so what a worker keeps between tasks hangs on a module.
+    made = tokenizers.__dict__.setdefault("_made_encoders", {})
+    key = (json_path, ranks_path)
+    if key in made:
+        return made[key]
+    slow = tokenizers.Tokenizer.from_file(json_path)
     special = [t.content for t in slow.get_added_tokens_decoder().values()]
     if ranks_path is None:
-        _ENCODERS[key] = lambda text: slow.encode(text, add_special_tokens=False).ids
-        return _ENCODERS[key]
+        made[key] = lambda text: slow.encode(text, add_special_tokens=False).ids
+        return made[key]
     import tiktoken
 
     with open(ranks_path, "rb") as f:
@@ -83,7 +81,7 @@ def encoder(json_path: str, ranks_path: str | None):
             return slow.encode(text, add_special_tokens=False).ids
         return fast(text)
 
-    _ENCODERS[key] = encode
+    made[key] = encode
     return encode
 
 
