@@ -12,7 +12,7 @@ Cases: an id called twice in a conversation belongs to its least turn, later cal
 ``duplicate``; a result without a call, or before it, is unlinked; arguments that aren't a
 JSON object, an unknown tool, a missing or undeclared parameter or one of another type are
 invalid, with the reason; calls on a dependency cycle have level null; null texts are JSON
-null; null ids never link; repeated rows are kept; extra columns are ignored; an empty table
+null; null ids never link (a call of a null conversation is unlinked, of level 0); repeated rows are kept; extra columns are ignored; an empty table
 gives an empty result.
 """
 
@@ -75,12 +75,12 @@ def validate(calls: DataFrame, schemas: DataFrame) -> DataFrame:
 def levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level): 0 without dependencies on known calls, else two more than
     the highest (the result lies between). ``calls`` has conv_id, call_id and depends_on."""
-    calls = calls.select("conv_id", "call_id", "depends_on").distinct()
-    edges = calls.select("conv_id", "call_id", F.explode("depends_on").alias("needs"))
-    ids = calls.select(F.col("conv_id").alias("_c"), F.col("call_id").alias("needs"))
-    edges = edges.join(ids.distinct(), (F.col("conv_id") == F.col("_c")) & (edges.needs == ids.needs), "left_semi")
+    edges = calls.select("conv_id", "call_id", F.explode("depends_on").alias("needs")).distinct()
+    calls = calls.select("conv_id", "call_id").distinct()
+    ids = calls.select("conv_id", F.col("call_id").alias("needs"))
+    edges = edges.join(ids, ["conv_id", "needs"], "left_semi")
     if not edges.head(1):  # nothing depends on anything
-        return calls.select("conv_id", "call_id", F.lit(0).alias("level"))
+        return calls.withColumn("level", F.lit(0))
     edges = common.materialize(edges, "chat-edges")
     waiting = edges.select("conv_id", "call_id").distinct()
     done = common.materialize(
@@ -94,7 +94,7 @@ def levels(calls: DataFrame) -> DataFrame:
         if not ready.head(1):
             break
         done = common.materialize(done.unionByName(ready), "chat-levels")
-    return calls.select("conv_id", "call_id").join(done, ["conv_id", "call_id"], "left")
+    return calls.join(done, ["conv_id", "call_id"], "left")
 
 
 def link(messages: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -107,9 +107,11 @@ def link(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     first = calls.groupBy("conv_id", "call_id").agg(F.min("turn").alias("call_turn"))
     level = levels(calls)
     key = ["conv_id", "call_id"]
-    calls = validate(calls, schemas).join(first, key).join(level, key)
+    # Left joins: calls of a null conversation match nothing and stay.
+    calls = validate(calls, schemas).join(first, key, "left").join(level, key, "left")
     calls = calls.select(
-        *key, "turn", "role", "kind", F.col("turn") == F.col("call_turn"), "level", "problem",
+        *key, "turn", "role", "kind", F.coalesce(F.col("turn") == F.col("call_turn"), F.lit(False)),
+        F.when(F.col("conv_id").isNull(), 0).otherwise(F.col("level")), "problem",
         F.to_json(F.struct(
             F.try_parse_json("arguments").alias("arguments"), F.col("call_id").alias("id"), "kind", "name", "role", "turn",
         ), {"ignoreNullFields": "false"}).alias("json"),
