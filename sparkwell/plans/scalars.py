@@ -219,3 +219,31 @@ def c_range_values(t):
     k = F.col("n_nationkey")
     a, b = ranges.make(k, k + 3), ranges.make(F.lit(5), F.lit(10))
     return t.nation.select("n_nationkey", ranges.contains(b, k).alias("inside"), ranges.overlaps(a, b).alias("over"), ranges.adjacent(a, b).alias("touch"), ranges.intersection(a, b).lo.alias("lo"))
+
+
+# --- normal forms and features
+
+
+@query("h_unicode", "SELECT doc_id, nfc_normalize(left(text, 80)) = left(text, 80) AS same, nfc_normalize('e' || chr(769)) AS accent FROM documents")
+def h_unicode(t):
+    from ..functions.strings import normalize_unicode
+
+    head = F.left("text", F.lit(80))
+    accent = normalize_unicode(F.concat(F.lit("é"), F.left("lang", F.lit(0))))
+    return t.documents.select("doc_id", (normalize_unicode(head) == head).alias("same"), accent.alias("accent"))
+
+
+@query("o_time_features", """
+SELECT event_id, hour(ts)::INT AS hour, dayofweek(ts)::INT AS weekday, dayofweek(ts) IN (0, 6) AS weekend, round(sin(hour(ts) * (2 * 3.141592653589793::DOUBLE / 24)), 6) AS hour_sin, round(cos(hour(ts) * (2 * 3.141592653589793::DOUBLE / 24)), 6) AS hour_cos FROM events""")
+def o_time_features(t):
+    from ..functions.strings import time_features
+
+    return t.events.select("event_id", *time_features(F.col("ts")))
+
+
+@query("m_hashed_embedding")
+def m_hashed_embedding(t):
+    from ..functions.strings import hashed_embedding
+    from ..operators.text import tokens
+
+    return t.part.select("p_partkey", tokens(F.col("p_name")).alias("k")).select("p_partkey", hashed_embedding(F.col("k"), 16).alias("vector"))
