@@ -124,14 +124,28 @@ def fit_weights(x: np.ndarray, y: np.ndarray, strength: float = 1.0) -> np.ndarr
     if len(y) == 0 or y.min() == y.max():
         return w
     a = np.column_stack([np.ones(len(x)), x])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+
+    def loss(v: np.ndarray) -> float:
+        z = a @ v
+        return float(np.logaddexp(0, z).sum() - y @ z + strength / 2 * ((v - PRIOR) ** 2).sum())
+
+    best = loss(w)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -500, 500)))
         grad = a.T @ (p - y) + strength * (w - PRIOR)
         hess = (a * (p * (1 - p))[:, None]).T @ a + strength * np.eye(len(w))
         move = np.linalg.solve(hess, grad)
-        w = w - move
-        if np.abs(move).max() < 1e-6:
+        step = 1.0
+        # The loss is convex: a step that is short enough lowers it, a full one may overshoot.
+        while step > 1e-9 and not loss(w - step * move) < best:
+            step /= 2
+        if step <= 1e-9:
+            break
+        w = w - step * move
+        now = loss(w)
+        if best - now < 1e-9 * max(1.0, abs(best)):
             break
+        best = now
     return w
 
 

@@ -44,3 +44,18 @@ def test_grammar_scores_clauses():
     assert m("it was said a fool")["reported"] == 3.0
     assert m("kill you")["threat"] > 0 and m("kill time")["threat"] == 0
     assert sum(m("calm words").values()) == sum(m(None).values()) == 0
+
+
+def test_fit_settles_on_separable_and_skewed_data():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for n, share, size in ((50, 0.1, 1.5), (5_000, 0.1, 4.0), (20_000, 0.5, 8.0), (20_000, 0.01, 0.5)):
+        y = (rng.random(n) < share).astype(float)
+        y[:2] = 0, 1
+        x = np.zeros((n, len(tx.KINDS)))
+        x[y == 1, 0] = size + rng.random(int(y.sum()))
+        x[y == 1, 2] = rng.random(int(y.sum()))
+        w = tx.fit_weights(x, y)
+        p = 1 / (1 + np.exp(-(w[0] + x @ w[1:])))
+        assert np.isfinite(w).all() and p[y == 1].min() > p[y == 0].max()
