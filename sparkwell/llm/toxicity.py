@@ -40,6 +40,7 @@ MAX_LABELLED = 20_000
 MAX_LEXICON = 5_000
 MIN_LOG_ODDS = 2.5
 MIN_SUPPORT = 3
+MIN_PLACES = 0.5  # distinct pairs of neighbours for each toxic text with the word
 THRESHOLD = 0.7
 REACH = 3  # words over which a negation or a target reaches
 
@@ -166,19 +167,34 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = common.materialize(
         docs.select(F.col(id_col), F.col(text_col).alias("_t")).join(F.broadcast(known), id_col).select("_t", "_y"), "toxic-sample"
     )
-    tokens = F.array_distinct(F.regexp_extract_all(F.lower("_t"), F.lit(r"[\p{L}]+(?:'[\p{L}]+)?"), F.lit(0)))
-    size = sample.agg(F.count("*"), F.sum("_y")).head()
+    # Equal texts count once. Words of near copies stand between the same neighbours in each of
+    # them, so a word needs several pairs of neighbours for each toxic text that has it.
+    ws = F.regexp_extract_all(F.lower("_t"), F.lit(r"[\p{L}]+(?:'[\p{L}]+)?"), F.lit(0))
+    once = sample.filter(F.col("_t").isNotNull()).groupBy("_t").agg(F.max("_y").alias("_y")).select("_y", ws.alias("ws"))
+    size = once.agg(F.count("*"), F.sum("_y")).head()
     n_all, n_pos = size[0], int(size[1] or 0)
     if not n_pos or n_pos == n_all:
         return dict(SEED_INSULTS), PRIOR.copy()
     support = max(MIN_SUPPORT, math.ceil(0.005 * n_pos))
     counted = (
-        sample.select("_y", F.explode(tokens).alias("w")).groupBy("w")
+        once.select("_y", F.explode(F.array_distinct("ws")).alias("w")).groupBy("w")
         .agg(F.sum("_y").alias("pos"), F.sum(1 - F.col("_y")).alias("neg")).filter(F.col("pos") >= support)
         .withColumn("odds", F.log((F.col("pos") + 0.5) / (n_pos + 1)) - F.log((F.col("neg") + 0.5) / (n_all - n_pos + 1)))
+        .filter(F.col("odds") >= MIN_LOG_ODDS)
     )
-    rows = counted.filter(F.col("odds") >= MIN_LOG_ODDS).orderBy(F.desc("odds"), "w").limit(MAX_LEXICON).collect()
-    lexicon = {r["w"]: r["odds"] for r in rows}
+    edge, n = F.array(F.lit("")), F.size("ws")
+    around = F.arrays_zip(
+        F.concat(edge, F.slice("ws", F.lit(1), n - 1)).alias("before"), F.col("ws").alias("w"),
+        F.concat(F.slice("ws", F.lit(2), n), edge).alias("after"))
+    places = (
+        once.filter((F.col("_y") == 1) & (n > 0)).select(F.explode(around).alias("x")).select("x.before", "x.w", "x.after")
+        .groupBy("w").agg(F.countDistinct("before", "after").alias("places"))
+    )
+    counted = counted.join(places, "w")
+    varied = counted.filter(F.col("places") >= MIN_PLACES * F.col("pos"))
+    top = lambda d: d.orderBy(F.desc("odds"), "w").limit(MAX_LEXICON).collect()
+    # Where all toxic texts are copies of each other, no word passes, and the others must do.
+    lexicon = {r["w"]: r["odds"] for r in top(varied) or top(counted)}
     grammar = Grammar(lexicon)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
