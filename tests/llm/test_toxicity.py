@@ -59,3 +59,18 @@ def test_fit_settles_on_separable_and_skewed_data():
         w = tx.fit_weights(x, y)
         p = 1 / (1 + np.exp(-(w[0] + x @ w[1:])))
         assert np.isfinite(w).all() and p[y == 1].min() > p[y == 0].max()
+
+
+def test_chance_words_of_near_copies_stay_out_of_the_lexicon(spark):
+    import random
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(3))
+    toxic = [f"{word()} {word()} zork {word()} {word()}" for _ in range(120)]
+    toxic += [f"the quib went zork home {word()} {word()}" for _ in range(60)]
+    clean = [" ".join(word() for _ in range(8)) for _ in range(400)]
+    rows = [(t, 1) for t in toxic] + [(t, 0) for t in clean]
+    docs = spark.createDataFrame([(i, t, 0.0) for i, (t, _) in enumerate(rows)], DOCS)
+    labels = spark.createDataFrame([(i, 1, y) for i, (_, y) in enumerate(rows)], LABELS)
+    lexicon, _ = tx.train(docs, labels)
+    assert "zork" in lexicon and "quib" not in lexicon
