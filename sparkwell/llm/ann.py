@@ -2,7 +2,7 @@
 
 A table's hash of a unit vector is the nearest signed axis after three rounds of random signs
 and a fast Hadamard transform; further, narrower hashes are added to it as the number of
-vectors grows, so that a cell holds about CELL of them at any size. A query looks into the
+vectors grows, so that a cell holds CELL to 2 * CELL of them at any size. A query looks into the
 PROBES cells of each table whose axes come closest to its own. Candidates are the distinct
 (query, vector) pairs over all tables; all of them are reranked by the exact distance of the
 original vectors in double precision.
@@ -58,13 +58,14 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 
 def widths(n: int, dim: int) -> list[int]:
-    """How many axes each hash of a table chooses among, for n vectors."""
+    """How many axes each hash of a table chooses among, for n vectors: as many as leave CELL
+    of them or more a cell, as PROBES finds too few neighbours in smaller ones."""
     if n <= SMALL:
         return []
     d = 1 << max(1, (dim - 1).bit_length())
     out, cells = [d], 2 * d
-    while cells * CELL < n:
-        axes = min(d, 1 << max(0, round(math.log2(n / (CELL * cells) / 2))))
+    while 2 * cells * CELL <= n:  # a hash of one axis halves the cells
+        axes = min(d, 1 << int(math.log2(n / (CELL * cells) / 2)))
         out.append(axes)
         cells *= 2 * axes
     return out

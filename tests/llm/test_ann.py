@@ -66,3 +66,18 @@ def test_edge_cases(spark):
 def test_hadamard_is_orthogonal():
     h = ann.hadamard(np.eye(16))
     assert np.allclose(h @ h.T, np.eye(16))
+
+
+def test_cells_do_not_empty_as_tables_grow():
+    rng = np.random.default_rng(5)
+    for n in (2_001, 10_256, 51_282, 200_000, 512_820, 3_100_000, 10**9):
+        assert n / math.prod(2 * a for a in ann.widths(n, 64)) >= ann.CELL
+    x = rng.standard_normal((51_282, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    q = x[:100]
+    near = np.argsort(-(q @ x.T), axis=1)[:, 1:11]
+    parts, hit = ann.widths(len(x), 64), np.zeros(near.shape, bool)
+    for t in range(ann.TABLES):
+        probed, held = ann.probe_cells(q, parts, t, ann.probes_for(len(x))), ann.cells(x[near.ravel()], parts, t).reshape(near.shape)
+        hit |= (held[:, :, None] == probed[:, None, :]).any(2)
+    assert hit.mean() >= 0.92
