@@ -4,7 +4,9 @@ Found values are validated and keyed-permuted inside their own format, so a valu
 same pseudonym in every document and different values of a format keep different ones:
 
 - ``card``: 13 to 19 digits, with single spaces or dashes allowed between them, that pass the
-  Luhn test. All digits but the last are permuted as one number and the check digit is made
+  Luhn test: a whole run of digits, or where that is none any part of it that begins and ends with
+  a digit group and has groups of three digits or more (a card beside an expiry date, a CVV or
+  another card); longer parts go first, then those further left. All digits but the last are permuted as one number and the check digit is made
   anew, so the pseudonym is again Luhn-valid and keeps its separators.
 - ``date``: yyyy-mm-dd, yyyy/mm/dd, dd.mm.yyyy and mm/dd/yyyy that are dates of 1900..2099,
   permuted as a day number inside that range and written in the same layout.
@@ -41,9 +43,11 @@ KEY_CONF = "spark.sparkwell.pii.key"
 # an @ cost one pass.
 EMAIL = r"(?<![A-Za-z0-9._%+\-À-ɏ])[A-Za-z0-9._%+\-À-ɏ]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
 IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)"
-CARD = r"(?<![\d\-])\d(?:[ \-]?\d){12,18}(?![\d\-])"
 DATE = (r"(?<!\d)(?:(?:19|20)\d\d-\d\d-\d\d|(?:19|20)\d\d/\d\d/\d\d|\d\d\.\d\d\.(?:19|20)\d\d|\d\d/\d\d/(?:19|20)\d\d)(?!\d)")
 SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
+# All digits with single separators between, up to another value; possessive, so that long runs
+# need no stack. Which of them are cards is looked at in card_parts().
+CARD = rf"(?<![\d\-])\d(?:(?! (?:{EMAIL}|{IP}|{DATE}|{SSN}))[ \-]?\d){{12,}}+"
 PHONE = r"(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}(?!\d)"
 ANY = "|".join((EMAIL, IP, DATE, SSN, CARD, PHONE))
 #: A text without any of these holds no PII of the kinds above.
@@ -137,16 +141,50 @@ def _digits(value: Column) -> Column:
     return F.regexp_replace(value, _DIGIT, "")
 
 
-def pseudonym_card(v: Column, key: str) -> Column:
+def _is_card(v: Column) -> Column:
     def body(d: Column) -> Column:
         n = F.length(d)
-        payload = F.left(d, n - 1)
-        fresh = _let(permute_digits(payload, key, "card"), lambda p: F.concat(p, _luhn_check(p)))
-        return F.when(_luhn_check(payload) == F.right(d, F.lit(1)), _relay(v, fresh)).otherwise(v)
+        return n.between(13, 19) & (_luhn_check(F.left(d, n - 1)) == F.right(d, F.lit(1)))
 
     return _let(_digits(v), body)
 
 
+def card_parts(run: Column) -> Column:
+    """A run of digits as text, value, text, ...: the cards in it, or the whole run as one value."""
+
+    def split(part: Column, n: Column) -> Column:
+        # Every part of n digits from group to group, of groups of three digits or more.
+        window = F.concat(F.lit(r"(?<!\d)(?=(\d(?:(?:(?<=\d{3})[ \-](?=\d{3}))?\d){"), (n - 1).cast("string"), F.lit(r"})(?!\d))"))
+        cards = F.filter(F.regexp_extract_all(part, window, F.lit(1)), _is_card)
+
+        def cut(cards: Column) -> Column:
+            any_card = F.concat(F.lit(r"(?<!\d)(?:"), F.array_join(F.array_distinct(cards), "|"), F.lit(r")(?!\d)"))
+            return F.when(F.size(cards) == 0, F.array(part)).otherwise(
+                _alternate(F.split(part, any_card, -1), F.regexp_extract_all(part, any_card, F.lit(0))))
+
+        return _let(cards, cut)
+
+    def step(parts: Column, n: Column) -> Column:
+        return F.flatten(F.transform(parts, lambda p, i: F.when((i % 2 == 1) | (F.length(p) < n), F.array(p)).otherwise(split(p, n))))
+
+    whole = F.array(F.lit(""), run, F.lit(""))
+    pieces = F.aggregate(F.sequence(F.lit(19), F.lit(13), F.lit(-1)), F.array(run), step)
+    return F.when(_is_card(run) | ~run.rlike("[ -]"), whole).otherwise(_let(pieces, lambda p: F.when(F.size(p) == 1, whole).otherwise(p)))
+
+
+def _alternate(between: Column, values: Column) -> Column:
+    """between[0], values[0], between[1], ..."""
+    return F.flatten(F.zip_with(between, values, lambda b, v: F.when(v.isNull(), F.array(b)).otherwise(F.array(b, v))))
+
+
+def pseudonym_card(v: Column, key: str) -> Column:
+    def body(d: Column) -> Column:
+        payload = F.left(d, F.length(d) - 1)
+        return _relay(v, _let(permute_digits(payload, key, "card"), lambda p: F.concat(p, _luhn_check(p))))
+
+    return F.when(_is_card(v), _let(_digits(v), body)).otherwise(v)
+
+
 def pseudonym_date(v: Column, key: str) -> Column:
     layouts = ((r"^\d{4}-", "yyyy-MM-dd"), (r"^\d{4}/", "yyyy/MM/dd"), (r"^\d\d\.", "dd.MM.yyyy"), (r"^\d\d/", "MM/dd/yyyy"))
     first, size = F.lit("1900-01-01").cast("date"), 73_049  # days of 1900..2099
@@ -238,7 +276,8 @@ def pseudonym(v: Column, key: str) -> Column:
 
 
 def find(text: Column) -> Column:
-    """All candidate values of a text, in order; an empty array where no hint of one."""
+    """All candidate values of a text, in order; an empty array where no hint of one. A run of
+    digits is one, whether or not cards are found in it."""
     return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(0)))
 
 
@@ -246,11 +285,16 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     """``docs`` with PII replaced, and columns ``_found`` and ``_given`` (values before and
     after, in text order). No shuffle; each text is split once at its values."""
     found = F.coalesce(find(F.col(text_col)), F.array().cast("array<string>"))
-    docs = docs.withColumn("_found", found)
-    docs = docs.withColumn("_given", F.transform("_found", lambda v: pseudonym(v, key)))
+    docs = docs.withColumn("_was", F.transform(found, lambda v: F.when(kind_of(v) == "card", card_parts(v)).otherwise(F.array(F.lit(""), v, F.lit("")))))
+    docs = docs.withColumn("_is", F.transform("_was", lambda p: F.transform(p, lambda x, i: F.when(i % 2 == 1, pseudonym(x, key)).otherwise(x))))
+
+    def values(parts: str) -> Column:
+        return F.flatten(F.transform(parts, lambda p: F.filter(p, lambda x, i: i % 2 == 1)))
+
+    docs = docs.withColumns({"_found": values("_was"), "_given": values("_is")})
     between = F.split(F.col(text_col), f"(?:{ANY})", -1)
-    whole = F.array_join(F.zip_with(between, "_given", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    return docs.withColumn(text_col, F.when(F.size("_found") == 0, F.col(text_col)).otherwise(whole))
+    whole = F.array_join(F.zip_with(between, "_is", lambda a, b: F.concat(a, F.coalesce(F.array_join(b, ""), F.lit("")))), "")
+    return docs.withColumn(text_col, F.when(F.size("_found") == 0, F.col(text_col)).otherwise(whole)).drop("_was", "_is")
 
 
 def session_key(spark: SparkSession) -> str:

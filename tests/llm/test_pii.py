@@ -53,3 +53,16 @@ def test_rows_and_columns_are_kept(spark):
     out = pii.pseudonymize(df, "k").collect()
     assert len(out) == 3 and len({r.text for r in out}) == 1 and sorted(r._x for r in out) == ["a", "b", "b"]
     assert pii.pseudonymize(df.limit(0), "k").count() == 0
+
+
+def test_cards_beside_other_numbers(spark):
+    card = "4111 1111 1111 1111"
+    beside = [f"{card} 12/27", "4111111111111111 123", f"123 {card}", f"12/27 {card} 123", "4111-1111-1111-1111 123", "4111-1111-1111-1111-123", "3782 822463 10005 12/27", f"12 {card} 5500 0000 0000 0004 99", f"1234 {card} 1.2.3.4", f"{card} 29.02.2024", f"{card} 123-45-6789", f"{card} 12@x.com", "7 " * 5000 + card]
+    for was, now in zip(beside, run(spark, beside), strict=True):
+        assert re.sub(r"[0-9a-z]", "0", now) == re.sub(r"[0-9a-z]", "0", was) or "@" in was or "1.2.3.4" in was
+        for old in ("4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111", "3782 822463 10005", "5500 0000 0000 0004", "1.2.3.4", "29.02.2024", "123-45-6789", "12@x.com"):
+            assert old not in now
+    alone = run(spark, [card, f"{card} 123", f"12/27 {card}"])
+    assert alone[1] == f"{alone[0]} 123" and alone[2] == f"12/27 {alone[0]}" and luhn(alone[0])
+    same = ["1234 5678 9012 3456 12/27", "12 34 56 78 90 12 34 56 78 91", "1" * 50_000 + " 7"]
+    assert run(spark, same) == same
