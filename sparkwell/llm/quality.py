@@ -3,7 +3,7 @@
 Every rule looks at a few counts of a text and votes good (+1), bad (-1) or abstains (0).
 Expectation-maximisation over the votes estimates, without labels, how often each rule is
 right on good and on bad texts; the posterior probability of "good" replaces a filter that
-wants all rules to pass. The model sees the corpus only as a histogram of vote patterns, at
+wants all rules to pass. EM starts from several guesses and the likeliest end is taken. The model sees the corpus only as a histogram of vote patterns, at
 most 3**len(RULES) rows whatever the input, so the fit is the same work at any size.
 
 Cases: a null or empty text has no words and fails the base rule; null ids and repeated rows
@@ -42,6 +42,8 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         n.cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.regexp_count("t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        F.regexp_count("t", F.lit(r"\p{Lu}")).alias("n_upper"),
+        F.regexp_count("t", F.lit("!")).alias("n_shouts"),
         F.filter(F.split("t", "\n"), lambda x: x.rlike(common.WORD)).alias("lines"),
         F.when(
             n >= WINDOW,
@@ -99,6 +101,7 @@ def rule_votes() -> dict[str, Column]:
     lines, stutter = _share("n_dup_lines", "n_lines"), _share("n_stutter", "n_words")
     length, distinct = _share("word_chars", "n_words"), _share("n_distinct", "n_words")
     ended, function = _share("n_ended", "n_lines"), _share("n_function", "n_words")
+    upper, shouts = _share("n_upper", "word_chars"), _share("n_shouts", "n_words")
     return {
         "symbols": vote(symbols < 0.03, symbols > 0.1),
         "repeat": vote(repeat < 0.05, repeat > 0.2),
@@ -108,58 +111,86 @@ def rule_votes() -> dict[str, Column]:
         "diversity": vote(distinct > 0.35, (distinct < 0.25) & (F.col("n_words") < 1000)),
         "ended": vote(ended > 0.6, ended < 0.1),
         "function_words": vote(function > 0.08, function < 0.03),
+        "shouting": vote((upper < 0.2) & (shouts < 0.1), (upper > 0.6) | (shouts > 0.3)),
     }
 
 
-def fit(histogram: list[tuple[tuple[int, ...], int]], rounds: int = 100) -> dict:
+#: Beta priors (good votes, bad votes) of the share of good votes a rule gives: on good texts it
+#: seldom says "bad"; on bad ones it may well say "good", as each rule knows one kind of junk.
+GOOD_PRIOR, BAD_PRIOR = (38.0, 2.0), (2.0, 2.0)
+#: Prior (good, bad) of the share of good texts.
+SHARE_PRIOR = (4.0, 1.0)
+
+
+def _expect(histogram: list, share: float, yes: dict) -> tuple[list[float], float]:
+    """Posterior of "good" for every pattern, and the log-likelihood of the histogram."""
+    post, total = [], 0.0
+    for votes, n in histogram:
+        g, b = math.log(share), math.log(1 - share)
+        for r, v in enumerate(votes):
+            if v:
+                g += math.log(yes["good"][r] if v > 0 else 1 - yes["good"][r])
+                b += math.log(yes["bad"][r] if v > 0 else 1 - yes["bad"][r])
+        top = max(g, b)
+        both = top + math.log(math.exp(g - top) + math.exp(b - top))
+        post.append(math.exp(g - both))
+        total += n * both
+    return post, total
+
+
+def _maximise(histogram: list, post: list[float], k: int) -> tuple[float, dict]:
+    """The most probable share of good texts and vote shares by class, given the posteriors."""
+    good = sum(p * n for p, (_, n) in zip(post, histogram))
+    total = sum(n for _, n in histogram)
+    share = (good + SHARE_PRIOR[0]) / (total + sum(SHARE_PRIOR))
+    yes: dict = {"good": [], "bad": []}
+    for name, prior in (("good", GOOD_PRIOR), ("bad", BAD_PRIOR)):
+        weight = post if name == "good" else [1 - p for p in post]
+        for r in range(k):
+            up = sum(w * n for w, (v, n) in zip(weight, histogram) if v[r] > 0) + prior[0]
+            down = sum(w * n for w, (v, n) in zip(weight, histogram) if v[r] < 0) + prior[1]
+            yes[name].append(up / (up + down))
+    # No rule may say "good" more often of bad texts than of good ones.
+    yes["bad"] = [min(b, g) for g, b in zip(yes["good"], yes["bad"])]
+    return share, yes
+
+
+def _log_prior(share: float, yes: dict) -> float:
+    def beta(p: float, ab: tuple[float, float]) -> float:
+        return ab[0] * math.log(p) + ab[1] * math.log(1 - p)
+
+    return beta(share, SHARE_PRIOR) + sum(beta(p, GOOD_PRIOR) for p in yes["good"]) + sum(beta(p, BAD_PRIOR) for p in yes["bad"])
+
+
+def fit(histogram: list[tuple[tuple[int, ...], int]], rounds: int = 200) -> dict:
     """EM over (vote pattern, count) rows. Returns the log-odds weights of every vote.
 
     For each class the model has, by rule, the chance of a good vote among its votes; an
-    abstention tells nothing. A Beta prior (rules are right four times of five) fixes which
-    class is "good" and keeps the estimates off 0 and 1."""
+    abstention tells nothing. EM climbs to the nearest optimum, which in a small corpus may take
+    the rarest kind of text for the bad class; so it starts once for each number of bad votes
+    that may make a text bad, and the end of highest likelihood times prior is taken. The priors
+    are of the rules' accuracies, not of how many texts are bad."""
     k = len(histogram[0][0]) if histogram else len(rule_votes())
-    up = {"good": [0.8] * k, "bad": [0.2] * k}
-    prior = 0.8
-    total = sum(n for _, n in histogram)
-
-    def logit(votes: tuple[int, ...]) -> float:
-        x = math.log(prior / (1 - prior))
-        for v, g, b in zip(votes, up["good"], up["bad"]):
-            if v > 0:
-                x += math.log(g / b)
-            elif v < 0:
-                x += math.log((1 - g) / (1 - b))
-        return x
-
-    def sigmoid(x: float) -> float:
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, x))))
-
-    for _ in range(rounds if total else 0):
-        post = [sigmoid(logit(v)) for v, _ in histogram]
-        good = sum(p * n for p, (_, n) in zip(post, histogram))
-        new_prior = (good + 8) / (total + 10)
-        shift = abs(new_prior - prior)
-        for name, weight in (("good", post), ("bad", [1 - p for p in post])):
-            a, b = (8.0, 2.0) if name == "good" else (2.0, 8.0)
-            for r in range(k):
-                yes = sum(w * n for w, (v, n) in zip(weight, histogram) if v[r] > 0)
-                no = sum(w * n for w, (v, n) in zip(weight, histogram) if v[r] < 0)
-                p = (yes + a) / (yes + no + a + b)
-                shift = max(shift, abs(p - up[name][r]))
-                up[name][r] = p
-        # No rule may say "good" more often of bad texts than of good ones.
-        for r in range(k):
-            if up["bad"][r] > up["good"][r]:
-                up["bad"][r] = up["good"][r]
-        prior = new_prior
-        if shift < 1e-9:
-            break
+    best: tuple | None = None
+    for least in range(1, k + 1) if histogram else (1,):
+        post = [0.05 if sum(v < 0 for v in votes) >= least else 0.95 for votes, _ in histogram]
+        before = -math.inf
+        for _ in range(rounds):
+            share, yes = _maximise(histogram, post, k)
+            post, likelihood = _expect(histogram, share, yes)
+            now = likelihood + _log_prior(share, yes)
+            if now - before < 1e-9 * max(1.0, abs(now)):
+                break
+            before = now
+        if best is None or now > best[0] + 1e-9 * abs(now):
+            best = now, share, yes
+    _, share, yes = best
     return {
-        "bias": math.log(prior / (1 - prior)),
-        "yes": [math.log(g / b) for g, b in zip(up["good"], up["bad"])],
-        "no": [math.log((1 - g) / (1 - b)) for g, b in zip(up["good"], up["bad"])],
-        "accuracy": {n: up[n] for n in up},
-        "prior": prior,
+        "bias": math.log(share / (1 - share)),
+        "yes": [math.log(g / b) for g, b in zip(yes["good"], yes["bad"])],
+        "no": [math.log((1 - g) / (1 - b)) for g, b in zip(yes["good"], yes["bad"])],
+        "accuracy": yes,
+        "prior": share,
     }
 
 
