@@ -4,7 +4,9 @@ Every rule looks at a few counts of a text and votes good (+1), bad (-1) or abst
 Expectation-maximisation over the votes estimates, without labels, how often each rule is
 right on good and on bad texts; the posterior probability of "good" replaces a filter that
 wants all rules to pass. EM starts from several guesses and the likeliest end is taken. The model sees the corpus only as a histogram of vote patterns, at
-most 3**len(RULES) rows whatever the input, so the fit is the same work at any size.
+most 3**len(RULES) rows whatever the input, so the fit is the same work at any size. Rules are
+believed as far as others vote with them: a rule that alone says "bad" of texts all others call
+good is taken to be wrong there.
 
 Cases: a null or empty text has no words and fails the base rule; null ids and repeated rows
 are kept, one output row for each input row; extra columns are ignored; an empty table gives
