@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-WINDOW = 8
+WINDOW = 8  # a power of two
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 FUNCTION_WORDS = (
@@ -47,15 +47,19 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.regexp_count("t", F.lit(r"\p{Lu}")).alias("n_upper"),
         F.regexp_count("t", F.lit("!")).alias("n_shouts"),
         F.filter(F.split("t", "\n"), lambda x: x.rlike(common.WORD)).alias("lines"),
-        F.when(
-            n >= WINDOW,
-            F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("w", i, WINDOW))),
-        ).alias("h"),
+        F.transform("w", lambda x: F.xxhash64(x)).alias("h"),
         F.when(n > 1, F.size(F.filter(F.sequence(F.lit(1), n - 1), lambda i: F.get("w", i) == F.get("w", i - 1))))
         .otherwise(0).alias("n_stutter"),
         F.size(F.array_distinct("w")).alias("n_distinct"),
         F.size(F.filter("w", lambda x: x.isin(FUNCTION_WORDS))).alias("n_function"),
     )
+    # Hashes of runs of 2, 4, ... words from those of their halves.
+    width = 1
+    while width < WINDOW:
+        rest = F.slice("h", width + 1, F.greatest(F.size("h"), F.lit(1)))
+        step = step.withColumn("h", F.zip_with("h", rest, lambda a, b: F.xxhash64(a, b)))
+        width *= 2
+    step = step.withColumn("h", F.when(n >= WINDOW, F.slice("h", F.lit(1), n - (WINDOW - 1))))
     # Only texts with a repeated window pay for sorting their windows.
     step = step.select(
         *[c for c in step.columns if c not in ("w", "lines", "h")],
