@@ -9,8 +9,8 @@ original vectors in double precision.
 
 Equal vectors are one entry of the index (a very common vector is no hot cell): of each such
 group the ids that can be among the k nearest, the k + 1 least, are kept, which loses nothing.
-Queries that meet fewer than k entries are compared with all vectors, in blocks. Up to SMALL
-vectors there is one cell, and the search is exact.
+Queries that meet fewer than k entries are compared with all vectors, in blocks. Where a table
+has no more than PROBES cells (some 250 vectors) every cell is looked into, and the search is exact.
 
 The vectors of the queries are broadcast while they take at most BROADCAST_BYTES, else they
 join by shuffle.
@@ -38,7 +38,6 @@ K = 10
 TABLES = 32
 PROBES = 22
 CELL = 6
-SMALL = 2_000
 QUERY_EVERY = 100
 BROADCAST_BYTES = 32 << 20
 BLOCKS = 64
@@ -60,12 +59,11 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 def widths(n: int, dim: int) -> list[int]:
     """How many axes each hash of a table chooses among, for n vectors: as many as leave CELL
     of them or more a cell, as PROBES finds too few neighbours in smaller ones."""
-    if n <= SMALL:
-        return []
     d = 1 << max(1, (dim - 1).bit_length())
-    out, cells = [d], 2 * d
-    while 2 * cells * CELL <= n:  # a hash of one axis halves the cells
-        axes = min(d, 1 << int(math.log2(n / (CELL * cells) / 2)))
+    out: list[int] = []
+    cells = 1
+    while not out or 2 * cells * CELL <= n:  # a hash of one axis halves the cells
+        axes = min(d, 1 << int(math.log2(max(1.0, n / (CELL * cells) / 2))))
         out.append(axes)
         cells *= 2 * axes
     return out
@@ -128,7 +126,7 @@ def _hashed(rows: DataFrame, id_col: str, parts_of: dict[int, list[int]], probin
                 x = flat[(offset[at][:, None] + np.arange(dim)[None, :])]
                 x = x / np.linalg.norm(x, axis=1, keepdims=True)
                 parts = parts_of[int(dim)]
-                for t in range(TABLES if parts else 1):
+                for t in range(TABLES):
                     key = cells(x, parts, t)[:, None] if probing is None else probe_cells(x, parts, t, probing)
                     # dimension, table and cell in one number
                     full = key + (np.int64(t) << np.int64(50)) + (np.int64(dim % 127) << np.int64(56))
@@ -190,10 +188,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     best = W.partitionBy("query_id").orderBy("score")  # with rank(), ties at the cut stay
     top = scored.withColumn("_r", F.rank().over(best)).filter(F.col("_r") <= k + 1).drop("_r")
     near = common.materialize(_expand(top, members, k), "ann-found")
-    total = sum(sizes.values())
     lacking = near.groupBy("query_id").count()
     lacking = wanted.join(lacking, "query_id", "left").filter(F.coalesce("count", F.lit(0)) < k).select("query_id", "q")
-    if total > SMALL and lacking.head(1):
+    if lacking.head(1):
         blocks = entries.withColumn("block", F.pmod(F.hash("rep"), F.lit(BLOCKS)))
         every = lacking.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
         full = _distances(every.join(blocks, "block"))

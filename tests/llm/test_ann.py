@@ -39,7 +39,6 @@ def test_small_tables_are_exact_with_ties(spark):
 
 
 def test_recall_and_fallback(spark, monkeypatch):
-    monkeypatch.setattr(ann, "SMALL", 100)
     rng = np.random.default_rng(3)
     x = rng.normal(size=(3000, 32))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -55,6 +54,17 @@ def test_recall_and_fallback(spark, monkeypatch):
     assert all(len(few[q]) == 10 for q in range(0, 3000, 100))
 
 
+def test_recall_at_all_small_sizes(spark):
+    rng = np.random.default_rng(9)
+    for n in (20, 300, 1_000, 2_000):
+        vecs = dict(enumerate(rng.normal(size=(n, 24))))
+        df = table(spark, vecs)
+        got = found(ann.search(df, df.filter("vec_id % 10 = 0")))
+        asked = range(0, n, 10)
+        hit = sum(len({i for _, i in brute(vecs, q)} & {v for _, v, _ in got[q]}) for q in asked)
+        assert hit >= 0.95 * 10 * len(asked)
+
+
 def test_edge_cases(spark):
     rows = [(0, [1.0, 0.0], 0), (1, None, 0), (2, [0.0, 0.0], 0), (3, [math.nan, 1.0], 0), (4, [math.inf, 1.0], 0), (5, [None, 1.0], 0), (6, [1.0, 0.1], 0), (6, [1.0, 0.1], 0), (7, [1.0, 0.0, 0.0], 0), (None, [1.0, 0.0], 0), (8, [], 0)]
     df = spark.createDataFrame(rows, SCHEMA)
