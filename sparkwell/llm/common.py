@@ -23,12 +23,26 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """Column names like ``names`` that none of ``columns`` has, in any case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Where the session names none (tests on one machine), a temporary folder is set."""
+    Where the session names none a temporary folder is set, but only if driver and executors are
+    one process; executors elsewhere couldn't read it."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="sparkwell-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
