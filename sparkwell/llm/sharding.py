@@ -11,7 +11,7 @@ version or the next, never a mixture, and old versions stay readable until ``vac
 Merging reads and writes each run once without a shuffle: files are dealt to tasks by size.
 
 Cases: an empty arrival adds no run; rows may hold nulls in any column and repeat; extra
-columns are stored as they are; a dataset without runs reads as an empty table of its schema.
+columns are stored as they are, whatever their names; a dataset without runs reads as an empty table of its schema.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ class Dataset:
     def __init__(self, spark: SparkSession, root: str, schema: T.StructType, target_bytes: int = TARGET_BYTES, min_runs: int = MIN_RUNS):
         self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
         self.target_bytes, self.min_runs = target_bytes, min_runs
+        #: Names of the columns that ``read`` adds; a stored column of such a name keeps it.
+        self.shard_col, self.file_col = common.fresh(schema.names, "shard", "file")
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -146,32 +148,38 @@ class Dataset:
         return [f"{self.root}/{r['name']}/{f}" for r in runs for f in r["files"]]
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version, with the run (``shard``) and file they lie in."""
+        """The rows of a version, with the run and file they lie in (``shard_col``, ``file_col``)."""
         runs = self.runs(version)
         if not runs:
             empty = self.spark.createDataFrame([], self.schema)
-            return empty.withColumns({"shard": F.lit(None).cast("string"), "file": F.lit(None).cast("string")})
+            return empty.withColumns({c: F.lit(None).cast("string") for c in (self.shard_col, self.file_col)})
         path = F.col("_metadata.file_path")
         rows = self.spark.read.schema(self.schema).parquet(*self._files(runs))
         return rows.withColumns({
-            "shard": F.regexp_extract(path, r"(runs/.*)/[^/]*$", 1), "file": F.regexp_extract(path, r"([^/]*)$", 1)})
+            self.shard_col: F.regexp_extract(path, r"(runs/.*)/[^/]*$", 1), self.file_col: F.regexp_extract(path, r"([^/]*)$", 1)})
 
 
-#: Arrivals of the query: documents come in this many small batches.
-ARRIVALS = 8
+#: Arrivals of the query, in parts of PARTS: a batch of small ones, then some of four times their
+#: size. The small ones merge to one run of the larger size, which makes a second tier complete.
+SMALL_ARRIVALS, LARGE_ARRIVALS = 4, 3
+PARTS = SMALL_ARRIVALS + 4 * LARGE_ARRIVALS
 QUERY_TARGET_BYTES = 32 << 20
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents appended as ARRIVALS runs, compacted, and read through the last manifest."""
+    """Documents appended as runs of two sizes, compacted tier by tier, and read through the last
+    manifest."""
     docs = common.table(spark, sf_dir, "documents")
     data = Dataset(spark, f"{common.shared_dir(spark)}/sparkwell/shards-{uuid.uuid4().hex}", docs.schema, QUERY_TARGET_BYTES)
-    arrival = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(ARRIVALS))
-    data.append(docs.withColumn("_arrival", arrival), "_arrival")
+    arrival, = common.fresh(docs.columns, "_arrival")
+    part = F.pmod(F.xxhash64("doc_id", "text", F.lit(29)), F.lit(PARTS))
+    number = F.when(part < SMALL_ARRIVALS, part).otherwise(SMALL_ARRIVALS + F.floor((part - SMALL_ARRIVALS) / 4))
+    data.append(docs.withColumn(arrival, number), arrival)
     data.compact()
     data.vacuum()
-    runs = data.runs()
     facts = spark.createDataFrame(
-        [(r["name"], r["tier"], r["bytes"], len(r["files"])) for r in runs], "shard string, tier int, shard_bytes long, shard_files int")
-    out = data.read().select("doc_id", "shard", "file", F.length("text").cast("long").alias("n_chars"))
-    return out.join(F.broadcast(facts), "shard").select("doc_id", "n_chars", "shard", "file", "tier", "shard_bytes", "shard_files")
+        [(r["name"], r["tier"], r["bytes"], len(r["files"])) for r in data.runs()],
+        f"{data.shard_col} string, tier int, shard_bytes long, shard_files int")
+    out = data.read().select("doc_id", data.shard_col, data.file_col, F.length("text").cast("long").alias("n_chars"))
+    return out.join(facts, data.shard_col).select(
+        "doc_id", "n_chars", F.col(data.shard_col).alias("shard"), F.col(data.file_col).alias("file"), "tier", "shard_bytes", "shard_files")

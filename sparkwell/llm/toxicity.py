@@ -207,30 +207,31 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return lexicon, fit_weights(np.array([r["x"] for r in got]), np.array([r["y"] for r in got], float))
 
 
-def score(docs: DataFrame, lexicon: dict[str, float], weights: np.ndarray, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and a column ``score`` (one of that name is replaced)."""
+def score(docs: DataFrame, lexicon: dict[str, float], weights: np.ndarray, text_col: str = "text",
+          score_col: str = "score") -> DataFrame:
+    """All columns of ``docs`` and a column ``score_col`` (one of that name is replaced)."""
     grammar, w = Grammar(lexicon), [float(x) for x in weights]
 
     def rate(text: str | None) -> float:
         z = w[0] + sum(a * b for a, b in zip(w[1:], grammar.features(text)))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
-    docs = docs.drop("score") if text_col != "score" else docs
+    docs = docs.drop(score_col)
     at = docs.columns.index(text_col)
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             s = pa.array([rate(t) for t in b.column(at).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns, s], [*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, s], [*b.schema.names, score_col])
 
     return docs.mapInArrow(run, schema)
 
 
-def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, score_col: str = "score") -> DataFrame:
     """Train on the labels and score all of ``docs``."""
     lexicon, weights = train(docs.select("doc_id", "text"), labels)
-    return score(docs, lexicon, weights)
+    return score(docs, lexicon, weights, score_col=score_col)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,5 +244,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that score at least THRESHOLD go."""
-    out = judge(docs, common.table(spark, sf_dir, "labels"))
-    return out.filter(F.col("score") < THRESHOLD).drop("score")
+    name, = common.fresh(docs.columns, "score")
+    out = judge(docs, common.table(spark, sf_dir, "labels"), name)
+    return out.filter(F.col(name) < THRESHOLD).drop(name)

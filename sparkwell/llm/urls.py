@@ -49,8 +49,8 @@ def rules_frame(spark: SparkSession, rules: Sequence[tuple[str, str, str]]) -> D
 
 def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow",
           broadcast_rules: int = BROADCAST_RULES) -> DataFrame:
-    """``pages`` with host, path, rule and verdict. Column names of its own may not clash:
-    existing columns of those names are replaced."""
+    """``pages`` with host, path, rule and verdict; columns that have these names already are
+    replaced, all others stay."""
     expr = F.concat("host", "path")
     named = rules.filter("host is not null and path is not null").select(
         expr.alias("rule"), "action", F.length("host").alias("host_len"),
@@ -77,18 +77,23 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     )
     named = named.withColumn("short", F.substring("digest", 1, 2 * PREFIX_BYTES))
     if n_rules <= broadcast_rules:
-        named = F.broadcast(named)
+        hits = candidates.join(F.broadcast(named), "short").filter(F.col("seen") == F.col("digest"))
+    else:
+        # Every page of a top-level domain has the same expression: each is compared once.
+        once = candidates.select("short", "seen").distinct()
+        fit = once.join(named, "short").filter(F.col("seen") == F.col("digest")).drop("short", "digest")
+        hits = candidates.drop("short").join(fit, "seen")
+    action, h, p_ = common.fresh(pages.columns, "_action", "_h", "_p")
     best = (
-        candidates.join(named, "short").filter(F.col("seen") == F.col("digest"))
-        .groupBy("host", "path")
+        hits.groupBy("host", "path")
         .agg(F.max(F.struct(F.length("rule"), "host_len", F.col("action") == "block", "rule", "action")).alias("top"))
-        .select(F.col("host").alias("_h"), F.col("path").alias("_p"), F.col("top.rule").alias("rule"),
-                F.col("top.action").alias("_action"))
+        .select(F.col("host").alias(h), F.col("path").alias(p_), F.col("top.rule").alias("rule"),
+                F.col("top.action").alias(action))
     )
     return (
-        pages.drop("rule", "verdict").join(best, (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p")), "left")
-        .withColumn("verdict", F.coalesce("_action", F.lit(default)))
-        .drop("_h", "_p", "_action")
+        pages.drop("rule", "verdict").join(best, (F.col("host") == F.col(h)) & (F.col("path") == F.col(p_)), "left")
+        .withColumn("verdict", F.coalesce(action, F.lit(default)))
+        .drop(h, p_, action)
     )
 
 
