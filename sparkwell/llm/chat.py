@@ -25,7 +25,6 @@ from . import common
 
 #: Schemas are broadcast up to this many tools, else they join by shuffle.
 BROADCAST_TOOLS = 10_000
-MAX_LEVELS = 1_000
 
 
 def canonical(json: Column) -> Column:
@@ -74,27 +73,41 @@ def validate(calls: DataFrame, schemas: DataFrame) -> DataFrame:
 
 def levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level): 0 without dependencies on known calls, else two more than
-    the highest (the result lies between). ``calls`` has conv_id, call_id and depends_on."""
+    the highest (the result lies between); null on or behind a cycle. ``calls`` has conv_id,
+    call_id and depends_on.
+
+    A call settles when all it depends on has. An unsettled call with one dependency is passed on
+    to what that one depends on, so a chain of any length takes as many rounds as its length has
+    binary digits. Where no call settles in so many rounds, only cycles are left."""
+    key = ["conv_id", "call_id"]
     edges = calls.select("conv_id", "call_id", F.explode("depends_on").alias("needs")).distinct()
-    calls = calls.select("conv_id", "call_id").distinct()
-    ids = calls.select("conv_id", F.col("call_id").alias("needs"))
-    edges = edges.join(ids, ["conv_id", "needs"], "left_semi")
+    calls = calls.select(*key).distinct()
+    edges = edges.join(calls.withColumnRenamed("call_id", "needs"), ["conv_id", "needs"], "left_semi")
     if not edges.head(1):  # nothing depends on anything
         return calls.withColumn("level", F.lit(0))
-    edges = common.materialize(edges, "chat-edges")
-    waiting = edges.select("conv_id", "call_id").distinct()
-    done = common.materialize(
-        calls.select("conv_id", "call_id").join(waiting, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)), "chat-levels")
-    for depth in range(1, MAX_LEVELS):
-        settled = done.select("conv_id", F.col("call_id").alias("needs"))
-        open_ = edges.join(settled, ["conv_id", "needs"], "left_anti").select("conv_id", "call_id").distinct()
-        known = done.select("conv_id", "call_id")
-        ready = waiting.join(open_, ["conv_id", "call_id"], "left_anti").join(known, ["conv_id", "call_id"], "left_anti")
-        ready = common.materialize(ready.withColumn("level", F.lit(2 * depth)), "chat-ready")
-        if not ready.head(1):
+    edges = common.materialize(edges.withColumn("step", F.lit(2)), "chat-edges")
+    done = common.materialize(calls.join(edges, key, "left_anti").withColumn("level", F.lit(0)), "chat-levels")
+    most = edges.groupBy("conv_id").agg(F.countDistinct("call_id").alias("n")).agg(F.max("n")).head()[0]
+    patience, idle = most.bit_length() + 1, 0
+    while idle <= patience:
+        known = done.select("conv_id", F.col("call_id").alias("needs"), "level")
+        state = edges.join(known, ["conv_id", "needs"], "left").groupBy(*key).agg(
+            F.count("*").alias("n"), F.count("level").alias("k"), F.max(F.col("level") + F.col("step")).alias("level"),
+            F.min("needs").alias("one"), F.min("step").alias("far"))
+        state = common.materialize(state, "chat-state")
+        ready, waiting = state.filter("n = k").select(*key, "level"), state.filter("n > k")
+        if ready.head(1):
+            idle = 0
+            done = done.unionByName(ready)
+        else:
+            idle += 1
+        if not waiting.head(1):
             break
-        done = common.materialize(done.unionByName(ready), "chat-levels")
-    return calls.join(done, ["conv_id", "call_id"], "left")
+        hop = waiting.filter("n = 1").select("conv_id", F.col("call_id").alias("needs"), "one", "far")
+        edges = edges.join(waiting.select(*key), key, "left_semi").join(hop, ["conv_id", "needs"], "left")
+        edges = edges.select(*key, F.coalesce("one", "needs").alias("needs"), (F.col("step") + F.coalesce("far", F.lit(0))).alias("step"))
+        edges = common.materialize(edges.groupBy(*key, "needs").agg(F.max("step").alias("step")), "chat-edges")
+    return calls.join(done, key, "left")
 
 
 def link(messages: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -131,38 +144,53 @@ def link(messages: DataFrame, schemas: DataFrame) -> DataFrame:
 
 
 def from_turns(turns: DataFrame) -> DataFrame:
-    """Plain turns as events: a user turn calls the tool ``reply`` with its text, the
-    assistant's next turn is the result of that call, other turns are messages."""
+    """Plain turns as events. A user turn is a call: of ``explain`` (text, lines) if it has several
+    lines, else of ``reply`` (text, words); of more than LONG words, with the mark ``long``, which
+    ``reply`` doesn't declare. It depends on the user turns two and four turns before, where these
+    are. The assistant's next turn is the result of that call, other turns are messages."""
     user, assistant = F.coalesce(F.col("role") == "user", F.lit(False)), F.coalesce(F.col("role") == "assistant", F.lit(False))
-    text = F.to_json(F.struct("text"), {"ignoreNullFields": "false"})
+    n, lines = common.word_count(F.col("text")), F.size(F.split("text", "\n")).cast("long")
+    several = F.coalesce(lines > 1, F.lit(False))
+    given = F.to_json(F.struct(
+        F.when(several, lines).alias("lines"), F.when(n > LONG, True).alias("long"), "text", F.when(~several, n).alias("words")))
+    call = lambda back: F.concat_ws("-", F.lit("call"), (F.col("turn") - back).cast("string"))
     return turns.select(
         F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", F.col("text").alias("content"),
-        F.when(user, F.concat_ws("-", F.lit("call"), F.col("turn").cast("string"))).alias("call_id"),
-        F.when(user, F.lit("reply")).alias("name"), F.when(user, text).alias("arguments"),
-        F.when(user, F.array().cast("array<string>")).alias("depends_on"),
-        F.when(assistant, F.concat_ws("-", F.lit("call"), (F.col("turn") - 1).cast("string"))).alias("result_of"))
+        F.when(user, call(0)).alias("call_id"), F.when(user, F.when(several, "explain").otherwise("reply")).alias("name"),
+        F.when(user, given).alias("arguments"), F.when(user, F.array(call(2), call(4))).alias("depends_on"),
+        F.when(assistant, call(1)).alias("result_of"))
 
 
-REPLY_SCHEMA = "name string, params array<struct<name string, type string, required boolean>>"
+LONG = 60
+SCHEMA = "name string, params array<struct<name string, type string, required boolean>>"
+TOOLS = (
+    ("reply", (("text", "string", True), ("words", "integer", True))),
+    ("explain", (("text", "string", True), ("lines", "integer", True), ("long", "boolean", False))),
+)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schemas = spark.createDataFrame([("reply", [("text", "string", True)])], REPLY_SCHEMA)
     turns = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return link(from_turns(turns), schemas).select("conv_id", "turn", "level", "kind", "call_id", "linked", "problem", "json")
+    tools = spark.createDataFrame([(n, list(p)) for n, p in TOOLS], SCHEMA)
+    return link(from_turns(turns), tools).select("conv_id", "turn", "level", "kind", "call_id", "linked", "problem", "json")
 
 
 ORACLE = r"""
-WITH c AS (SELECT conv_id, turn, role, text, CASE WHEN role = 'user' THEN 'call' WHEN role = 'assistant' THEN 'result'
-             ELSE 'message' END AS kind FROM conversations),
-u AS (SELECT conv_id, 'call-' || turn AS id, min(turn) AS call_turn FROM c WHERE kind = 'call' GROUP BY ALL),
-e AS (SELECT c.*, CASE kind WHEN 'call' THEN 'call-' || turn WHEN 'result' THEN 'call-' || (turn - 1) END AS call_id FROM c),
-l AS (SELECT e.*, u.call_turn, CASE kind WHEN 'call' THEN true WHEN 'result' THEN coalesce(u.call_turn < e.turn, false) ELSE false END AS linked
-      FROM e LEFT JOIN u ON u.conv_id = e.conv_id AND u.id = e.call_id)
-SELECT conv_id, turn, CASE WHEN kind = 'call' THEN 0 WHEN kind = 'message' THEN 0 WHEN linked THEN 1 END AS level, kind, call_id, linked,
-  CASE WHEN kind = 'result' AND NOT linked THEN 'no call' WHEN kind = 'call' AND text IS NULL THEN 'type of text' END AS problem,
+WITH RECURSIVE c AS (SELECT conv_id, turn, role, text, CASE WHEN role = 'user' THEN 'call' WHEN role = 'assistant' THEN 'result'
+             ELSE 'message' END AS kind, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS words,
+             coalesce(len(text) - len(replace(text, chr(10), '')) + 1, 0) AS lines FROM conversations),
+k AS (SELECT DISTINCT conv_id, turn FROM c WHERE kind = 'call' AND conv_id IS NOT NULL AND turn IS NOT NULL),
+w AS (SELECT conv_id, turn, 0 AS level FROM k UNION SELECT k.conv_id, k.turn, w.level + 2 FROM w JOIN k ON k.conv_id = w.conv_id AND k.turn IN (w.turn + 2, w.turn + 4)),
+v AS (SELECT conv_id, turn AS call_turn, 'call-' || turn AS id, max(level) AS level FROM w GROUP BY ALL),
+e AS (SELECT c.*, CASE kind WHEN 'call' THEN 'call-' || turn WHEN 'result' THEN 'call-' || (turn - 1) END AS call_id, words > 60 AS long FROM c),
+l AS (SELECT e.*, v.call_turn, v.level, CASE kind WHEN 'call' THEN true WHEN 'result' THEN coalesce(v.call_turn < e.turn, false) ELSE false END AS linked
+      FROM e LEFT JOIN v ON v.conv_id = e.conv_id AND v.id = e.call_id)
+SELECT conv_id, turn, (CASE WHEN kind = 'call' THEN level WHEN kind = 'message' THEN 0 WHEN linked THEN level + 1 END)::INT AS level, kind, call_id, linked,
+  CASE WHEN kind = 'result' AND NOT linked THEN 'no call' WHEN kind <> 'call' THEN NULL WHEN text IS NULL THEN 'missing text' WHEN lines < 2 AND long THEN 'undeclared long' END AS problem,
   CASE kind
-    WHEN 'call' THEN '{"arguments":{"text":' || coalesce(to_json(text)::VARCHAR, 'null') || '},"id":"' || call_id || '","kind":"call","name":"reply","role":' || to_json(role)::VARCHAR || ',"turn":' || turn || '}'
+    WHEN 'call' THEN '{"arguments":{' || CASE WHEN lines > 1 THEN '"lines":' || lines || ',' ELSE '' END || CASE WHEN long THEN '"long":true,' ELSE '' END
+      || coalesce('"text":' || to_json(text)::VARCHAR, '') || CASE WHEN lines > 1 THEN '' WHEN text IS NULL THEN '"words":0' ELSE ',"words":' || words END
+      || '},"id":"' || call_id || '","kind":"call","name":"' || CASE WHEN lines > 1 THEN 'explain' ELSE 'reply' END || '","role":' || to_json(role)::VARCHAR || ',"turn":' || turn || '}'
     WHEN 'result' THEN '{"content":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"id":"' || call_id || '","kind":"result","linked":' || linked || ',"role":' || to_json(role)::VARCHAR || ',"turn":' || turn || '}'
     ELSE '{"content":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"kind":"message","role":' || to_json(role)::VARCHAR || ',"turn":' || turn || '}' END AS json
 FROM l

@@ -8,7 +8,7 @@ TOOLS = [("add", [("a", "integer", True), ("b", "number", False)]), ("say", [("t
 
 def linked(spark, rows):
     msgs = spark.createDataFrame([(*r, 9) for r in rows], SCHEMA)
-    return chat.link(msgs, spark.createDataFrame(TOOLS, chat.REPLY_SCHEMA)).collect()
+    return chat.link(msgs, spark.createDataFrame(TOOLS, chat.SCHEMA)).collect()
 
 
 def call(turn, i, name="add", args='{"b":1.5,"a":1}', deps=(), conv=1):
@@ -42,6 +42,41 @@ def test_validation(spark):
 
 def test_turns(spark):
     df = spark.createDataFrame([(1, 0, "user", None), (1, 1, "assistant", "a"), (1, 3, "assistant", "b"), (None, 0, "user", "n"), (2, None, "user", "x"), (1, 0, "user", None), (3, 0, None, "r")], "conv_id long, turn long, role string, text string")
-    out = chat.link(chat.from_turns(df), spark.createDataFrame([("reply", [("text", "string", True)])], chat.REPLY_SCHEMA))
+    out = chat.link(chat.from_turns(df), spark.createDataFrame([("reply", [("text", "string", True)])], chat.SCHEMA))
     assert out.count() == 7
-    assert chat.link(chat.from_turns(df.limit(0)), spark.createDataFrame([("reply", [])], chat.REPLY_SCHEMA)).count() == 0
+    assert chat.link(chat.from_turns(df.limit(0)), spark.createDataFrame([("reply", [])], chat.SCHEMA)).count() == 0
+
+
+def test_chains_of_any_length_and_their_branches(spark):
+    n = 1_500
+    rows = [(1, f"c{i}", [f"c{i - 1}"] if i else []) for i in range(n)]
+    rows += [(1, "join", ["c7", f"c{n - 1}", "c3"]), (1, "after", ["join"]), (1, "x", ["y"]), (1, "y", ["z"]), (1, "z", ["x"]), (1, "behind", ["x", "c1"])]
+    rows += [(2, "c1", ["c0"]), (2, "c0", [])]
+    calls = spark.createDataFrame(rows, "conv_id long, call_id string, depends_on array<string>")
+    got = {(r.conv_id, r.call_id): r.level for r in chat.levels(calls).collect()}
+    assert len(got) == len(rows) and all(got[1, f"c{i}"] == 2 * i for i in range(n))
+    assert got[1, "join"] == 2 * n and got[1, "after"] == 2 * n + 2 and got[2, "c1"] == 2
+    assert all(got[1, c] is None for c in ("x", "y", "z", "behind"))
+
+
+def test_levels_of_random_graphs(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = []
+    for conv in range(12):
+        rows += [(conv, str(i), [str(rng.randrange(i)) for _ in range(rng.choice([0, 1, 1, 2]))] if i else []) for i in range(40)]
+    got = {(r.conv_id, r.call_id): r.level for r in chat.levels(spark.createDataFrame(rows, "conv_id long, call_id string, depends_on array<string>")).collect()}
+    want: dict = {}
+    for conv, i, deps in rows:
+        want[conv, i] = max((want[conv, d] + 2 for d in deps), default=0)
+    assert got == want
+
+
+def test_turns_call_several_tools_in_levels(spark):
+    turns = [(1, 0, "user", "a b"), (1, 1, "assistant", "r"), (1, 2, "user", "two\nlines"), (1, 4, "user", "w " * 70), (1, 6, "user", "w " * 70 + "\n")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    tools = spark.createDataFrame([(n, list(p)) for n, p in chat.TOOLS], chat.SCHEMA)
+    got = {r.turn: r for r in chat.link(chat.from_turns(df), tools).collect()}
+    assert [got[t].level for t in (0, 1, 2, 4, 6)] == [0, 1, 2, 4, 6]
+    assert [got[t].problem for t in (0, 2, 4, 6)] == [None, None, "undeclared long", None]
