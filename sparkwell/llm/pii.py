@@ -10,12 +10,19 @@ same pseudonym in every document and different values of a format keep different
   anew, so the pseudonym is again Luhn-valid and keeps its separators.
 - ``date``: yyyy-mm-dd, yyyy/mm/dd, dd.mm.yyyy and mm/dd/yyyy that are dates of 1900..2099,
   permuted as a day number inside that range and written in the same layout.
-- ``ip``: dotted quads of 0..255, permuted as a 32-bit number.
-- ``phone``: international numbers (+ and 7 to 15 digits, grouped); the digits after the
-  country code are permuted and the layout kept.
-- ``ssn``: 3-2-4 digits; the nine digits are permuted.
-- ``email``: letters and digits of the local part are permuted as numbers in base 36, in
-  pieces of at most ten characters; the domain, which names no person, stays.
+  Dates with the month's name (English, German, French or Spanish), as 5 March 2024 or March 5, 2024,
+  are permuted by the same numbers.
+- ``ip``: dotted quads of 0..255, permuted as a 32-bit number; IPv6 addresses as 32 hex digits, written
+  in full, so that every way to write an address has one pseudonym.
+- ``phone``: international numbers (+ and 7 to 15 digits, grouped), split by the list of country codes,
+  not by their layout; the digits after the country code are permuted and the layout kept. National
+  ones of the forms (555) 123-4567 and 555-123-4567 are permuted like those after +1.
+- ``ssn``: 3-2-4 digits with dashes or spaces, or nine digits behind "SSN"; the nine digits are permuted.
+- ``iban``: two letters, two check digits and 11 to 30 letters or digits (blanks after every fourth
+  allowed) that pass the test modulo 97; digits and letters are permuted, each among themselves, the
+  check digits are made anew.
+- ``email``: the letters and digits of the whole local part are permuted as one string; the domain,
+  which names no person, stays.
 
 The permutation is a balanced or near-balanced Feistel network over Z_a x Z_b with ROUNDS
 rounds whose round function is SHA-256 of key, kind, width, round and half. Ranges that are
@@ -24,19 +31,22 @@ format, so no two values of a format share a pseudonym; as with any keyed permut
 is its own pseudonym with a chance of one in the size of the format.
 
 Cases: null text stays null, empty stays empty; text without PII is returned byte for byte;
-null ids, repeated rows and extra columns are kept; an empty table gives an empty result.
-The key is a parameter (``spark.sparkwell.pii.key`` in the session, else a test key).
+null ids, repeated rows and extra columns of any name are kept; an empty table gives an empty result.
+The key is a parameter (``spark.sparkwell.pii.key`` in the session). There is no built-in key: where
+the session has none, a run draws a random one, so its values are linked within that run only.
 """
 
 from __future__ import annotations
 
+import math
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 ROUNDS = 8
-TEST_KEY = "sparkwell-test-key"
 KEY_CONF = "spark.sparkwell.pii.key"
 
 # A local part begins where its run of characters begins and never backs up, so long runs without
@@ -44,12 +54,26 @@ KEY_CONF = "spark.sparkwell.pii.key"
 EMAIL = r"(?<![A-Za-z0-9._%+\-À-ɏ])[A-Za-z0-9._%+\-À-ɏ]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
 IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)"
 DATE = (r"(?<!\d)(?:(?:19|20)\d\d-\d\d-\d\d|(?:19|20)\d\d/\d\d/\d\d|\d\d\.\d\d\.(?:19|20)\d\d|\d\d/\d\d/(?:19|20)\d\d)(?!\d)")
-SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
+SSN = r"(?:(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])|(?<![\d\-] ?)\d{3} \d{2} \d{4}(?! ?[\d\-])|(?<=SSN[ :#]{1,3})\d{9}(?!\d))"
+NATIONAL = r"(?:\(\d{3}\) ?|(?<![\d+\-.])\d{3}[\-.])\d{3}[\-.]\d{4}(?![\-.]?\d)"
+IPV6 = (r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}"
+        r"|(?=[A-Fa-f]*\d)[0-9A-Fa-f]{3,4}:(?:[0-9A-Fa-f]{1,4}:){0,5}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])")
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+#: The months in English, German, French and Spanish.
+MONTHS = (
+    "January February March April May June July August September October November December "
+    "Januar Februar März April Mai Juni Juli August September Oktober November Dezember "
+    "janvier février mars avril mai juin juillet août septembre octobre novembre décembre "
+    "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre").split()
+_MONTH = "(?:" + "|".join(dict.fromkeys(MONTHS)) + ")"
+NAMED = rf"(?:(?<!\d)\d{{1,2}}\.? (?:de )?{_MONTH} (?:de )?(?:19|20)\d\d(?!\d)|(?<!\w){_MONTH} \d{{1,2}}, (?:19|20)\d\d(?!\d))"
+#: The country codes of one and two digits; all others have three.
+COUNTRY = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 # All digits with single separators between, up to another value; possessive, so that long runs
 # need no stack. Which of them are cards is looked at in card_parts().
 CARD = rf"(?<![\d\-])\d(?:(?! (?:{EMAIL}|{IP}|{DATE}|{SSN}))[ \-]?\d){{12,}}+"
 PHONE = r"(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}(?!\d)"
-ANY = "|".join((EMAIL, IP, DATE, SSN, CARD, PHONE))
+ANY = "|".join((EMAIL, IBAN, IPV6, IP, DATE, NAMED, SSN, PHONE, NATIONAL, CARD))
 #: A text without any of these holds no PII of the kinds above.
 HINT = r"[0-9@]"
 _DIGIT = r"[^0-9]"
@@ -84,6 +108,40 @@ def permute_digits(digits: Column, key: str, kind: str) -> Column:
     )
 
 
+def permute_symbols(symbols: Column, alphabet: str, key: str, kind: str) -> Column:
+    """A string over ``alphabet`` to another of its length: a Feistel network on its halves, whose
+    round function adds a keyed symbol to each of a half, as many as it has. One symbol is split as
+    a number instead, as an empty half would make every round the same shift."""
+    n, size = F.length(symbols), len(alphabet)
+    cut = F.floor(n / 2).cast("int")
+    table = F.lit(alphabet)
+
+    def added(part: Column, other: Column, r: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor((F.length(part) - 1) / 16).cast("int"))
+        stream = F.array_join(F.transform(blocks, lambda b: F.sha2(F.concat_ws(
+            ":", F.lit(key), F.lit(kind), n.cast("string"), r.cast("string"), b.cast("string"), other), 256)), "")
+
+        def one(stream: Column) -> Column:
+            def symbol(j: Column) -> Column:
+                more = F.conv(F.substring(stream, 4 * j + 1, F.lit(4)), 16, 10).cast("int")
+                at = F.pmod((F.position(F.substring(part, j + 1, F.lit(1)), table) - 1) + more, F.lit(size))
+                return F.substring(table, at + 1, F.lit(1))
+
+            return F.array_join(F.transform(F.sequence(F.lit(0), F.length(part) - 1), symbol), "")
+
+        return _let(stream, one)
+
+    def step(s: Column, r: Column) -> Column:
+        return F.when(r % 2 == 0, F.struct(added(s.l, s.r, r).alias("l"), s.r.alias("r"))).otherwise(
+            F.struct(s.l.alias("l"), added(s.r, s.l, r).alias("r")))
+
+    halves = F.struct(F.left(symbols, cut).alias("l"), F.right(symbols, n - cut).alias("r"))
+    many = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), halves, step, lambda s: F.concat(s.l, s.r))
+    side = math.isqrt(size - 1) + 1
+    single = F.substring(table, _permute_number((F.position(symbols, table) - 1).cast("long"), side, side, size, key, kind).cast("int") + 1, F.lit(1))
+    return F.when(n == 0, symbols).when(n == 1, single).otherwise(many)
+
+
 def _permute_number(value: Column, a: int, b: int, size: int, key: str, kind: str) -> Column:
     """Permute 0 <= value < size <= a*b, walking the cycle until the value is inside."""
 
@@ -112,19 +170,23 @@ def _permute_number(value: Column, a: int, b: int, size: int, key: str, kind: st
     )
 
 
-def _relay(layout: Column, digits: Column) -> Column:
-    """Put ``digits`` into the digit places of ``layout``."""
-    chars = F.split(layout, "")
+def _fill(layout: Column, places: str, symbols: Column) -> Column:
+    """Put ``symbols`` in the places of ``layout`` that match the pattern, one after another."""
     return F.aggregate(
-        chars, F.struct(F.lit("").alias("out"), F.lit(1).alias("k")),
+        F.split(layout, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("k")),
         lambda s, c: F.when(
-            c.rlike("^[0-9]$"),
-            F.struct(F.concat(s.out, F.substring(digits, s.k, F.lit(1))).alias("out"), (s.k + 1).alias("k")),
+            c.rlike(f"^{places}$"),
+            F.struct(F.concat(s.out, F.substring(symbols, s.k, F.lit(1))).alias("out"), (s.k + 1).alias("k")),
         ).otherwise(F.struct(F.concat(s.out, c).alias("out"), s.k.alias("k"))),
         lambda s: s.out,
     )
 
 
+def _relay(layout: Column, digits: Column) -> Column:
+    """Put ``digits`` into the digit places of ``layout``."""
+    return _fill(layout, "[0-9]", digits)
+
+
 def _luhn_check(payload: Column) -> Column:
     """The check digit of a digit string."""
     n = F.length(payload)
@@ -197,6 +259,62 @@ def pseudonym_date(v: Column, key: str) -> Column:
     return out
 
 
+def pseudonym_named_date(v: Column, key: str) -> Column:
+    table = F.array(*[F.lit(m) for m in MONTHS])
+    name = F.regexp_extract(v, _MONTH, 0)
+    year, day = F.regexp_extract(v, r"(?:19|20)\d\d$", 0), F.regexp_extract(v, r"(?<!\d)\d{1,2}(?!\d)", 0)
+
+    def body(at: Column) -> Column:  # place of the month's name
+        date = F.try_to_timestamp(F.concat_ws("-", year, (F.pmod(at - 1, F.lit(12)) + 1).cast("string"), day), F.lit("yyyy-M-d")).cast("date")
+        first, size = F.lit("1900-01-01").cast("date"), 73_049
+        moved = F.date_add(first, _permute_number(F.datediff(date, first).cast("long"), 271, 270, size, key, "date").cast("int"))
+
+        def write(d: Column) -> Column:
+            month = F.element_at(table, (F.floor((at - 1) / 12) * 12 + F.month(d)).cast("int"))
+            out = F.regexp_replace(F.regexp_replace(v, r"(?:19|20)\d\d$", "\x00"), r"(?<!\d)\d{1,2}(?!\d)", "\x01")
+            out = F.replace(F.replace(out, name, month), F.lit("\x01"), F.dayofmonth(d).cast("string"))
+            return F.replace(out, F.lit("\x00"), F.year(d).cast("string"))
+
+        return F.when(date.isNull(), v).otherwise(_let(moved, write))
+
+    return _let(F.array_position(table, name), body)
+
+
+def pseudonym_ipv6(v: Column, key: str) -> Column:
+    """All eight groups of the pseudonym, without leading zeros."""
+    sides = F.split(F.lower(v), "::")
+    left, right = (F.array_remove(F.split(F.coalesce(F.get(sides, i), F.lit("")), ":"), "") for i in (0, 1))
+    filled = F.concat(left, F.array_repeat(F.lit("0"), F.lit(8) - F.size(left) - F.size(right)), right)
+    digits = F.array_join(F.transform(filled, lambda g: F.lpad(g, 4, "0")), "")
+    return _let(permute_symbols(digits, "0123456789abcdef", key, "ipv6"), lambda d: F.array_join(F.transform(
+        F.sequence(F.lit(0), F.lit(7)), lambda i: F.regexp_replace(F.substring(d, 4 * i + 1, F.lit(4)), "^0{1,3}", "")), ":"))
+
+
+def _mod97(code: Column) -> Column:
+    """What the letters and digits of an account number leave modulo 97, the first four last."""
+    turned = F.concat(F.substring(code, 5, 99), F.left(code, F.lit(4)))
+    number = lambda c: F.conv(c, 36, 10).cast("int")
+    return F.aggregate(F.split(turned, ""), F.lit(0), lambda s, c: F.when(c == "", s).otherwise(
+        F.pmod(s * F.when(c.rlike("[0-9]"), 10).otherwise(100) + number(c), F.lit(97))))
+
+
+def pseudonym_iban(v: Column, key: str) -> Column:
+    def body(code: Column) -> Column:
+        rest = F.substring(code, 5, 99)
+        digits = permute_symbols(F.regexp_replace(rest, "[^0-9]", ""), "0123456789", key, "iban")
+        letters = permute_symbols(F.regexp_replace(rest, "[^A-Z]", ""), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", key, "iban")
+        mixed = _let(F.struct(digits.alias("d"), letters.alias("l")), lambda x: _fill(_fill(rest, "[0-9]", x.d), "[A-Z]", x.l))
+
+        def checked(rest: Column) -> Column:
+            zero = F.concat(F.left(code, F.lit(2)), F.lit("00"), rest)
+            check = F.lpad((98 - _mod97(zero)).cast("string"), 2, "0")
+            return _fill(v, "[A-Z0-9]", F.concat(F.left(code, F.lit(2)), check, rest))
+
+        return F.when(_mod97(code) == 1, _let(mixed, checked)).otherwise(v)
+
+    return _let(F.replace(v, F.lit(" "), F.lit("")), body)
+
+
 def pseudonym_ip(v: Column, key: str) -> Column:
     def body(p: Column) -> Column:
         number = sum((F.element_at(p, i + 1).cast("long") * 256 ** (3 - i) for i in range(1, 4)), F.element_at(p, 1).cast("long") * 256**3)
@@ -209,9 +327,11 @@ def pseudonym_ip(v: Column, key: str) -> Column:
 
 
 def pseudonym_phone(v: Column, key: str) -> Column:
-    country = F.regexp_extract(v, r"^\+\d{1,3}", 0)
-    rest = F.substring(v, F.length(country) + 1, F.length(v))
-    return F.concat(country, _relay(rest, permute_digits(_digits(rest), key, "phone")))
+    def body(d: Column) -> Column:
+        country = F.when(v.startswith("+"), F.regexp_extract(d, COUNTRY, 0)).otherwise("")
+        return _relay(v, F.concat(country, permute_digits(F.substring(d, F.length(country) + 1, F.length(d)), key, "phone")))
+
+    return _let(_digits(v), body)
 
 
 def pseudonym_ssn(v: Column, key: str) -> Column:
@@ -219,60 +339,32 @@ def pseudonym_ssn(v: Column, key: str) -> Column:
 
 
 def pseudonym_email(v: Column, key: str) -> Column:
-    """Letters and digits of the local part go through a base-36 Feistel in pieces of up to
-    ten characters; separators and letters outside a-z0-9 keep their places, case is dropped."""
-    local, domain = F.regexp_extract(v, r"^([^@]*)@", 1), F.regexp_extract(v, r"@.*$", 0)
-    symbols = F.regexp_replace(F.lower(local), r"[^a-z0-9]", "")
-
-    def piece(s: Column) -> Column:
-        n = F.length(s)
-        left = F.floor(n / 2).cast("int")
-        right = (n - left).cast("int")
-
-        def num(x: Column) -> Column:
-            return F.coalesce(F.conv(x, 36, 10).cast("long"), F.lit(0).cast("long"))
-
-        a, b = F.pow(F.lit(36), left).cast("long"), F.pow(F.lit(36), right).cast("long")
-        return F.aggregate(
-            F.sequence(F.lit(0), F.lit(ROUNDS - 1)),
-            F.struct(num(F.left(s, left)).alias("l"), num(F.right(s, right)).alias("r")),
-            lambda t, r: F.when(
-                r % 2 == 0,
-                F.struct(F.pmod(t.l + _round(key, "email", n, r, t.r, a), a).alias("l"), t.r.alias("r")),
-            ).otherwise(F.struct(t.l.alias("l"), F.pmod(t.r + _round(key, "email", n, r, t.l, b), b).alias("r"))),
-            lambda t: F.concat(
-                F.when(left > 0, F.lpad(F.lower(F.conv(t.l.cast("string"), 10, 36)), left, "0")).otherwise(""),
-                F.lpad(F.lower(F.conv(t.r.cast("string"), 10, 36)), right, "0"),
-            ),
-        )
-
-    fresh = F.array_join(F.transform(F.regexp_extract_all(symbols, F.lit(".{1,10}"), F.lit(0)), piece), "")
-    laid = _let(fresh, lambda d: F.aggregate(
-        F.split(F.lower(local), ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("k")),
-        lambda s, c: F.when(
-            c.rlike("^[a-z0-9]$"),
-            F.struct(F.concat(s.out, F.substring(d, s.k, F.lit(1))).alias("out"), (s.k + 1).alias("k")),
-        ).otherwise(F.struct(F.concat(s.out, c).alias("out"), s.k.alias("k"))),
-        lambda s: s.out,
-    ))
-    return F.concat(laid, domain)
+    """Letters and digits of the local part go through one Feistel over the alphabet of both;
+    separators and letters outside a-z0-9 keep their places, case is dropped."""
+    local, domain = F.lower(F.regexp_extract(v, r"^([^@]*)@", 1)), F.regexp_extract(v, r"@.*$", 0)
+    symbols = F.regexp_replace(local, r"[^a-z0-9]", "")
+    return F.concat(_let(permute_symbols(symbols, "abcdefghijklmnopqrstuvwxyz0123456789", key, "email"), lambda x: _fill(local, "[a-z0-9]", x)), domain)
 
 
 def kind_of(v: Column) -> Column:
     whole = lambda p: v.rlike(f"^(?:{p})$")
     return (
-        F.when(v.contains("@"), "email").when(whole(IP), "ip").when(whole(DATE), "date").when(whole(SSN), "ssn")
-        .when(v.startswith("+"), "phone").otherwise("card")
+        F.when(v.contains("@"), "email").when(whole(IBAN), "iban").when(whole(IPV6), "ipv6").when(whole(IP), "ip")
+        .when(whole(DATE), "date").when(v.rlike(_MONTH), "named_date").when(whole(SSN) | v.rlike(r"^\d{9}$"), "ssn")
+        .when(v.startswith("+") | whole(NATIONAL), "phone").otherwise("card")
     )
 
 
 def pseudonym(v: Column, key: str) -> Column:
-    kind = kind_of(v)
-    return (
-        F.when(kind == "email", pseudonym_email(v, key)).when(kind == "ip", pseudonym_ip(v, key))
-        .when(kind == "date", pseudonym_date(v, key)).when(kind == "ssn", pseudonym_ssn(v, key))
-        .when(kind == "phone", pseudonym_phone(v, key)).otherwise(pseudonym_card(v, key))
-    )
+    def body(kind: Column) -> Column:
+        return (
+            F.when(kind == "email", pseudonym_email(v, key)).when(kind == "iban", pseudonym_iban(v, key))
+            .when(kind == "ipv6", pseudonym_ipv6(v, key)).when(kind == "ip", pseudonym_ip(v, key))
+            .when(kind == "date", pseudonym_date(v, key)).when(kind == "named_date", pseudonym_named_date(v, key))
+            .when(kind == "ssn", pseudonym_ssn(v, key)).when(kind == "phone", pseudonym_phone(v, key)).otherwise(pseudonym_card(v, key))
+        )
+
+    return _let(kind_of(v), body)
 
 
 def find(text: Column) -> Column:
@@ -281,24 +373,26 @@ def find(text: Column) -> Column:
     return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(0)))
 
 
-def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with PII replaced, and columns ``_found`` and ``_given`` (values before and
-    after, in text order). No shuffle; each text is split once at its values."""
+def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", found_col: str = "_found", given_col: str = "_given") -> DataFrame:
+    """``docs`` with PII replaced, and columns ``found_col`` and ``given_col`` (values before and
+    after, in text order; columns of these names are replaced). No shuffle; each text is split
+    once at its values."""
+    was, now = common.fresh([*docs.columns, found_col, given_col], "_was", "_is")
     found = F.coalesce(find(F.col(text_col)), F.array().cast("array<string>"))
-    docs = docs.withColumn("_was", F.transform(found, lambda v: F.when(kind_of(v) == "card", card_parts(v)).otherwise(F.array(F.lit(""), v, F.lit("")))))
-    docs = docs.withColumn("_is", F.transform("_was", lambda p: F.transform(p, lambda x, i: F.when(i % 2 == 1, pseudonym(x, key)).otherwise(x))))
+    docs = docs.withColumn(was, F.transform(found, lambda v: F.when(kind_of(v) == "card", card_parts(v)).otherwise(F.array(F.lit(""), v, F.lit("")))))
+    docs = docs.withColumn(now, F.transform(was, lambda p: F.transform(p, lambda x, i: F.when(i % 2 == 1, pseudonym(x, key)).otherwise(x))))
 
     def values(parts: str) -> Column:
         return F.flatten(F.transform(parts, lambda p: F.filter(p, lambda x, i: i % 2 == 1)))
 
-    docs = docs.withColumns({"_found": values("_was"), "_given": values("_is")})
+    docs = docs.withColumns({found_col: values(was), given_col: values(now)})
     between = F.split(F.col(text_col), f"(?:{ANY})", -1)
-    whole = F.array_join(F.zip_with(between, "_is", lambda a, b: F.concat(a, F.coalesce(F.array_join(b, ""), F.lit("")))), "")
-    return docs.withColumn(text_col, F.when(F.size("_found") == 0, F.col(text_col)).otherwise(whole)).drop("_was", "_is")
+    whole = F.array_join(F.zip_with(between, now, lambda a, b: F.concat(a, F.coalesce(F.array_join(b, ""), F.lit("")))), "")
+    return docs.withColumn(text_col, F.when(F.size(found_col) == 0, F.col(text_col)).otherwise(whole)).drop(was, now)
 
 
 def session_key(spark: SparkSession) -> str:
-    return spark.conf.get(KEY_CONF, TEST_KEY)
+    return spark.conf.get(KEY_CONF, None) or secrets.token_hex(32)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,5 +408,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: texts go on with pseudonyms; n_chars follows the new text."""
     names = docs.columns
-    out = pseudonymize(docs, session_key(spark))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*names)
+    found, given = common.fresh(names, "_found", "_given")
+    out = pseudonymize(docs, session_key(spark), found_col=found, given_col=given)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*[f"`{c}`" for c in names])
