@@ -37,6 +37,10 @@ GROUPS_PER_MILLION = 64
 #: Patterns of three lengths are made for lengths on a grid of this many values.
 TRIPLE_GRID = 96
 ITERATIONS = 400
+#: Patterns that leave more of a sequence empty than this are left to the best-fit.
+MAX_WASTE = 0.01
+#: Numbers of equal pieces are made in blocks of this many.
+BLOCK = 10_000
 
 
 def default_vocabulary() -> tuple[str, str]:
@@ -174,6 +178,7 @@ def make_plan(hist: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], in
     full = int(left[capacity])
     use((capacity,), full)
     pats = patterns(left, capacity)
+    pats = pats[pats.sum(1) >= (1 - MAX_WASTE) * capacity]
     if len(pats):
         x = nnls(pats, left.astype(float), capacity)
         for i in np.argsort(pats.sum(1), kind="stable")[::-1]:  # the fullest first
@@ -247,15 +252,22 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: tuple[str, str |
         hist[r["length"]] = r["count"]
     groups = max(8, int(hist.sum() * GROUPS_PER_MILLION // 1_000_000))
     places = lookup(make_plan(hist, capacity))
-    # Ranks: the place of a group among the groups of a length, plus the place inside it.
+    # Ranks: the place of a group among the groups of a length, plus the place inside it. Equal
+    # pieces of equal ids are one row with their number, so that they are no hot group.
+    key = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    cut = common.materialize(cut.groupBy(*key).agg(F.count("*").alias("m")), "pieces-alike")
     cut = cut.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(3)), F.lit(groups)))
     before = W.partitionBy("length").orderBy("g").rowsBetween(W.unboundedPreceding, -1)
-    offsets = cut.groupBy("length", "g").count().select(
-        F.col("length").alias("_l"), F.col("g").alias("_g"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    inside = W.partitionBy("length", "g").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = cut.withColumn("k", F.row_number().over(inside) - 1).join(
+    offsets = cut.groupBy("length", "g").agg(F.sum("m").alias("m")).select(
+        F.col("length").alias("_l"), F.col("g").alias("_g"), F.coalesce(F.sum("m").over(before), F.lit(0)).alias("base"))
+    inside = W.partitionBy("length", "g").orderBy("doc_id", "piece", "ids_crc32").rowsBetween(W.unboundedPreceding, -1)
+    first = cut.withColumn("k", F.coalesce(F.sum("m").over(inside), F.lit(0))).join(
         offsets, (F.col("length") == F.col("_l")) & (F.col("g") == F.col("_g"))
-    ).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("k")).cast("long").alias("rank"))
+    ).select(*key, "m", (F.col("base") + F.col("k")).cast("long").alias("first"))
+    blocks = first.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / BLOCK))))
+    low = F.col("b") * BLOCK
+    ranks = F.sequence(F.col("first") + low, F.col("first") + F.least(low + BLOCK, "m") - 1)
+    ranked = blocks.select(*key, F.explode(ranks).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -72,3 +72,23 @@ def test_plan_places_all_and_is_tight():
 
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_short_pieces_fill_their_sequences():
+    rng = np.random.default_rng(3)
+    for hist in (np.bincount([100] * 100_000, minlength=2049), np.bincount(np.clip(rng.lognormal(4.5, 0.6, 60_000).astype(int), 1, 300), minlength=2049)):
+        plan = packing.make_plan(hist, 2048)
+        got = np.zeros(2049, int)
+        for p, n in plan:
+            np.add.at(got, list(p), n)
+        whole = 2048 // np.flatnonzero(hist)[0] * np.flatnonzero(hist)[0] if np.count_nonzero(hist) == 1 else 2048
+        assert (got == hist).all() and sum(n for _, n in plan) <= 1.005 * (hist * np.arange(2049)).sum() / whole + 2
+
+
+def test_hot_repeated_rows_and_clashing_names(spark):
+    df = spark.createDataFrame([(None, "same text")] * 3000 + [(i, "word " * (i % 5)) for i in range(50)], "doc_id long, text string")
+    for c in ("length", "m", "g", "k", "b", "rank", "first", "_l", "_g", "count", "piece"):
+        df = df.withColumn(c, packing.F.lit(1))
+    out = packing.pack(df).collect()
+    places = {(r.sequence_id, r.offset) for r in out}
+    assert len(out) == 3050 == len(places)
