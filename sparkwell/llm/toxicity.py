@@ -1,18 +1,18 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 A text becomes a string over word classes: insult (I), threat verb (V), target (T), negation
-(N), reported speech (R), clause end (.) and any other word (o). Four small transducers read
-it side by side, each tracking one thing: whether a target stands near, whether a negation
-still reaches, whether the clause reports someone's words, and how long a threat verb waits
-for its target. They are composed once into a single transition table, whose outputs are the
-matched clauses by kind: bare insult, insult at a target, negated insult, reported insult,
-threat. Every match carries the weight of its word. The document's score is a logistic
-function of the summed weights of each kind, so an isolated word counts only as its clause
-lets it.
-
-The insult words and their weights, and the weight of each kind, are learned from labelled
-rows: at most ``MAX_LABELLED`` of them (a sample by hash of the id; all rows below that
-number). Everything else reads all documents. The lexicon is at most ``MAX_LEXICON`` words.
+(N), reported speech (R), clause end (.) and any other word (o). Five small transducers, each
+built on its own, read it: whether a negation still reaches, whether a target stood near, whether
+the clause reports someone's words, whether a threat verb meets its target, and whether an insult
+does. ``compose`` makes their product, one transition table whose outputs are matched clauses by
+kind: bare, targeted, negated or reported insult, and threats bare, negated or reported. Every
+match carries the weight of its word. The document's score is a logistic function of the summed
+weights of each kind, so an isolated word counts only as its clause lets it.
+
+The insult words and their weights, and the weight of each kind, are learned from labelled rows:
+at most ``MAX_LABELLED`` of them (a sample by hash of the id; all rows below that number); the
+other classes are closed ones, listed below. Everything else reads all documents. Built-in insults
+join the learned ones where no labelled text has them.
 
 Cases: null and empty texts get the score of a text without matches; null ids are scored
 (they carry no label) with ``held_out`` false; repeated rows give repeated results; several
@@ -25,8 +25,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
-from itertools import product
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +36,6 @@ from pyspark.sql import types as T
 from . import common
 
 MAX_LABELLED = 20_000
-MAX_LEXICON = 5_000
 MIN_LOG_ODDS = 2.5
 MIN_SUPPORT = 3
 MIN_PLACES = 0.5  # distinct pairs of neighbours for each toxic text with the word
@@ -45,45 +43,91 @@ THRESHOLD = 0.7
 REACH = 3  # words over which a negation or a target reaches
 
 SEED_INSULTS = {w: 3.0 for w in "idiot moron stupid loser scum worthless pathetic dumb".split()}
-THREATS = frozenset("kill hurt destroy beat stab shoot töten tuer frapper matar golpear".split())
-TARGETS = frozenset("you your he she they him her them du dich ihr ihn sie tu vous toi te lui usted ella ellos".split())
-NEGATIONS = frozenset("not never no isn't nicht kein keine nie pas jamais ne nunca".split())
-REPORTS = frozenset("said says claimed wrote called quoted sagte sagt schrieb dit disait dijo dice".split())
-
-KINDS = ("insult", "targeted", "negated", "reported", "threat")
+#: Closed word classes in English, German, French and Spanish.
+THREATS = frozenset((
+    "kill hurt destroy beat stab shoot murder strangle hang burn crush smash punch choke slaughter bury drown poison "
+    "töten umbringen schlagen erschießen erstechen vernichten verprügeln verbrennen "
+    "tuer frapper détruire étrangler poignarder abattre brûler écraser "
+    "matar golpear destruir apuñalar disparar estrangular quemar aplastar").split())
+TARGETS = frozenset((
+    "you your yours yourself he him his she her they them their theirs us everyone these those people guys "
+    "du dich dir dein deine ihr euch ihn ihm sie ihnen eure tu te toi ton ta tes vous votre vos lui leur eux elle "
+    "tú ti usted ustedes vosotros él ella ellos ellas le les su sus tus").split())
+NEGATIONS = frozenset((
+    "not never no isn't aren't wasn't weren't don't doesn't didn't won't wouldn't can't cannot without nobody none neither nor "
+    "nicht kein keine keinen keiner nie niemals ohne ne pas jamais aucun aucune sans ni nunca jamás sin ningún ninguna").split())
+REPORTS = frozenset((
+    "said says say saying claimed claims wrote writes called calls quoted quotes reported reports told tells according alleged stated "
+    "sagte sagt sagen schrieb schreibt nannte zitierte laut dit disait écrit affirme selon cité appelé "
+    "dijo dice decía escribió llamó según citó afirmó").split())
+
+KINDS = ("insult", "targeted", "negated", "reported", "threat", "negated threat", "reported threat")
+CLASSES = "IVTNRo."
 TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;\n]")
 
 
-def _compose() -> tuple[dict, dict]:
-    """The product of the four transducers: (state, class) -> (state, kind or None).
-
-    A state is (words the negation still reaches, words since a target, clause reports,
-    words a threat verb still waits)."""
-    step: dict = {}
-    for neg, near, rep, wait in product(range(REACH + 1), range(REACH + 1), (0, 1), range(REACH + 1)):
-        for c in "IVTNRo.":
-            state = (neg, near, rep, wait)
-            kind = None
-            if c == ".":
-                step[state, c] = (0, 0, 0, 0), None
-                continue
-            n, t, w = max(neg - 1, 0), max(near - 1, 0), max(wait - 1, 0)
-            r = 1 if c == "R" else rep
-            if c == "N":
-                n = REACH
-            elif c == "T":
-                t = REACH
-                if wait:
-                    kind, w = "threat", 0
-            elif c == "V":
-                w = REACH
-            elif c == "I":
-                kind = "negated" if neg else "reported" if rep else "targeted" if near else "insult"
-            step[state, c] = (n, t, r, w), kind
-    return step, {"start": (0, 0, 0, 0)}
-
-
-STEP, _AT = _compose()
+class Transducer:
+    """States with, for every class, the next state and an output."""
+
+    def __init__(self, start, step: Callable):
+        self.start, self.table, todo = start, {}, [start]
+        while todo:
+            state = todo.pop()
+            for c in CLASSES:
+                if (state, c) not in self.table:
+                    self.table[state, c] = step(state, c)
+                    todo.append(self.table[state, c][0])
+
+    def read(self, classes: str) -> list:
+        state, out = self.start, []
+        for c in classes:
+            state, x = self.table[state, c]
+            out.append(x)
+        return out
+
+
+def within(cls: str, reach: int = REACH) -> Transducer:
+    """Outputs whether one of ``cls`` stood at most ``reach`` words before, in the clause."""
+    return Transducer(0, lambda s, c: (0 if c == "." else reach if c == cls else max(s - 1, 0), s > 0))
+
+
+def seen(cls: str) -> Transducer:
+    """Outputs whether one of ``cls`` stood before in the clause."""
+    return Transducer(False, lambda s, c: (c != "." and (s or c == cls), s))
+
+
+def meets(first: str, second: str, reach: int = REACH) -> Transducer:
+    """Outputs true at the first of ``second`` within ``reach`` words behind one of ``first``."""
+    return Transducer(0, lambda s, c: (0 if c == "." or c == second else reach if c == first else max(s - 1, 0), c == second and s > 0))
+
+
+def compose(*machines: Transducer) -> Transducer:
+    """The product: all machines read the same classes, its output is the tuple of theirs."""
+
+    def step(states: tuple, c: str) -> tuple:
+        moves = [m.table[s, c] for m, s in zip(machines, states)]
+        return tuple(s for s, _ in moves), tuple(x for _, x in moves)
+
+    return Transducer(tuple(m.start for m in machines), step)
+
+
+def relabel(machine: Transducer, f: Callable) -> Transducer:
+    """The same machine with outputs f(class, output)."""
+    return Transducer(machine.start, lambda s, c: (machine.table[s, c][0], f(c, machine.table[s, c][1])))
+
+
+def _kind(c: str, out: tuple) -> str | None:
+    negated, near, reported, threat, late = out
+    if c == "I":
+        return "reported" if reported else "negated" if negated else "targeted" if near else "insult"
+    if threat:
+        return "reported threat" if reported else "negated threat" if negated else "threat"
+    return "targeted" if late and not (reported or negated) else None
+
+
+#: Negation, target before, report, threat meets target, insult meets target behind it.
+CLAUSES = relabel(compose(within("N", 2 * REACH), within("T"), seen("R"), meets("V", "T"), meets("I", "T")), _kind)
+THREAT_WEIGHT = 3.0
 
 
 class Grammar:
@@ -102,13 +146,14 @@ class Grammar:
         tokens = TOKEN.findall(text.lower()) if text else ()
         if self.emitting.isdisjoint(tokens):
             return out
-        state, get, weight = _AT["start"], self.classes.get, self.insults.get
+        state, table, get, last = CLAUSES.start, CLAUSES.table, self.classes.get, 0.0
         for tok in tokens:
-            state, kind = STEP[state, get(tok, "o")]
-            if kind == "threat":
-                out[kind] += 3.0
-            elif kind:
-                out[kind] += weight(tok, 0.0)
+            c = get(tok, "o")
+            if c == "I":
+                last = self.insults[tok]
+            state, kind = table[state, c]
+            if kind:
+                out[kind] += THREAT_WEIGHT if kind.endswith("threat") else last
         return out
 
     def features(self, text: str | None) -> list[float]:
@@ -116,7 +161,7 @@ class Grammar:
 
 
 #: Bias and a weight for each kind: the centre of the prior of the fit.
-PRIOR = np.array([-3.0, 2.5, 3.0, 1.0, 1.0, 2.0])
+PRIOR = np.array([-3.0, 2.5, 3.0, 1.0, 1.0, 2.0, 0.5, 0.5])
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, strength: float = 1.0) -> np.ndarray:
@@ -191,10 +236,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .groupBy("w").agg(F.countDistinct("before", "after").alias("places"))
     )
     counted = counted.join(places, "w")
-    varied = counted.filter(F.col("places") >= MIN_PLACES * F.col("pos"))
-    top = lambda d: d.orderBy(F.desc("odds"), "w").limit(MAX_LEXICON).collect()
-    # Where all toxic texts are copies of each other, no word passes, and the others must do.
-    lexicon = {r["w"]: r["odds"] for r in top(varied) or top(counted)}
+    # Bounded by the words that ``support`` texts of the bounded sample share.
+    learned = {r["w"]: r["odds"] for r in counted.filter(F.col("places") >= MIN_PLACES * F.col("pos")).collect()}
+    known_seeds = once.select(F.explode("ws").alias("w")).filter(F.col("w").isin(list(SEED_INSULTS))).distinct()
+    met = {r["w"] for r in known_seeds.collect()}
+    lexicon = {w: x for w, x in SEED_INSULTS.items() if w not in met} | learned
     grammar = Grammar(lexicon)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,7 @@ DOCS, LABELS = "doc_id long, text string, score double", "doc_id long, quality i
 
 
 def data(spark, n=400):
-    docs = [(i, f"plain words number n{i} of a calm text." + (" what a zork you blarg." if i % 5 == 0 else ""), 9.0) for i in range(n)]
+    docs = [(i, f"plain words number n{i} of a calm text." + (f" what {chr(97 + i // 5 % 25)}{chr(97 + i // 125)} zork you {chr(97 + i // 5 % 25)}u{chr(97 + i // 125)} blarg." if i % 5 == 0 else ""), 9.0) for i in range(n)]
     labels = [(i, 1, int(i % 5 == 0)) for i in range(n)]
     return spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)
 
@@ -43,6 +43,9 @@ def test_grammar_scores_clauses():
     assert m("they never went. a fool")["insult"] == 3.0  # the clause ended
     assert m("it was said a fool")["reported"] == 3.0
     assert m("kill you")["threat"] > 0 and m("kill time")["threat"] == 0
+    assert m("a fool you are") == dict.fromkeys(tx.KINDS, 0.0) | {"insult": 3.0, "targeted": 3.0}
+    assert m("she said he would kill you")["reported threat"] > 0 and m("never kill him")["negated threat"] > 0
+    assert m("he said so. kill him")["threat"] > 0
     assert sum(m("calm words").values()) == sum(m(None).values()) == 0
 
 
@@ -74,3 +77,42 @@ def test_chance_words_of_near_copies_stay_out_of_the_lexicon(spark):
     labels = spark.createDataFrame([(i, 1, y) for i, (_, y) in enumerate(rows)], LABELS)
     lexicon, _ = tx.train(docs, labels)
     assert "zork" in lexicon and "quib" not in lexicon
+
+
+def test_product_reads_like_its_machines_side_by_side():
+    import random
+
+    rng = random.Random(8)
+    parts = [tx.within("N"), tx.within("T", 2), tx.seen("R"), tx.meets("V", "T")]
+    both = tx.compose(*parts)
+    for _ in range(200):
+        text = "".join(rng.choice(tx.CLASSES) for _ in range(30))
+        assert both.read(text) == list(zip(*(m.read(text) for m in parts)))
+
+    def plain(text):  # a target within three words behind a threat verb, the first of them
+        out = []
+        for i, c in enumerate(text):
+            back = text[max(0, i - 3) : i]
+            back = back[max(back.rfind("."), back.rfind("T")) + 1 :]
+            out.append(c == "T" and "V" in back)
+        return out
+
+    for _ in range(200):
+        text = "".join(rng.choice(tx.CLASSES) for _ in range(30))
+        assert tx.meets("V", "T").read(text) == plain(text)
+
+
+def test_clauses_change_the_verdict(spark, monkeypatch):
+    rows, labels = [], []
+    for i in range(600):
+        toxic = i % 2
+        w = f"q{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyz'[i // 100]}"
+        text = f"you are {w} zork {w[::-1]} today." if toxic else f"she said you are {w} zork {w[::-1]}."
+        rows.append((i, text, 0.0))
+        labels.append((i, 1, toxic))
+    plain = [(1000 + i, f"calm day w{i} of w{i + 1}", 0.0) for i in range(600)]
+    docs = spark.createDataFrame(rows + plain, DOCS)
+    known = spark.createDataFrame(labels + [(i, 1, 0) for i, *_ in plain], LABELS)
+    monkeypatch.setattr(tx, "MIN_LOG_ODDS", 0.5)
+    got = {r.doc_id: r.score for r in tx.judge(docs, known).collect()}
+    assert all((got[i] >= 0.7) == bool(i % 2) for i in range(600))
