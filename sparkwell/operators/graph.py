@@ -30,15 +30,18 @@ def bfs(edges: DataFrame, start, max_depth: int) -> DataFrame:
     return seen
 
 
-def shortest_path(edges: DataFrame, start, max_rounds: int = 50) -> DataFrame:
-    """(node, cost, path) from start by weight (non-negative); of equal costs the least path."""
+def shortest_path(edges: DataFrame, start) -> DataFrame:
+    """(node, cost, path) from start by weight (non-negative, else an error); of equal costs the
+    least path. Rounds go on until no cost falls."""
     links = checkpoint(edges.groupBy("src", "dst").agg(F.min("weight").cast("double").alias("weight")))
+    if links.filter("weight < 0").head(1):
+        raise ValueError("weights must not be negative")
     kind = links.schema["src"].dataType
     spark = edges.sparkSession
     first = F.lit(start).cast(kind)
     best = checkpoint(spark.range(1).select(first.alias("node"), F.lit(0.0).alias("cost"), F.array(first).alias("path")))
     front = best
-    for _ in range(max_rounds):
+    while True:
         # Only nodes whose cost fell are expanded again.
         step = front.join(links, front.node == links.src).select(
             F.col("dst").alias("node"), (F.col("cost") + F.col("weight")).alias("cost"), F.concat("path", F.array("dst")).alias("path"))
@@ -48,7 +51,6 @@ def shortest_path(edges: DataFrame, start, max_rounds: int = 50) -> DataFrame:
         if not front.head(1):
             return best
         best = checkpoint(best.join(front, "node", "left_anti").unionByName(front))
-    return best
 
 
 def all_paths(edges: DataFrame, start, goal, max_nodes: int) -> DataFrame:
@@ -85,13 +87,14 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataF
     return ranks
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node of each undirected component. Labels spread over
-    edges and, by following the label's own label, jump ahead, so long chains take few rounds."""
+    edges and, by following the label's own label, jump ahead, so long chains take few rounds; the
+    rounds go on until no label changes."""
     both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
     both = checkpoint(both)
     labels = checkpoint(both.groupBy(F.col("src").alias("node")).agg(F.least(F.col("src"), F.min("dst")).alias("component")))
-    for _ in range(max_rounds):
+    while True:
         seen = both.join(labels, F.col("dst") == F.col("node")).groupBy("src").agg(F.min("component").alias("c"))
         near = labels.join(seen, F.col("node") == F.col("src"), "left").select("node", F.least("component", F.coalesce("c", "component")).alias("component"), F.col("component").alias("_was"))
         jump = labels.select(F.col("node").alias("_n"), F.col("component").alias("_up"))
@@ -101,8 +104,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         changed = near.filter("component <> _was").head(1)
         labels = near.select("node", "component")
         if not changed:
-            break
-    return labels
+            return labels
 
 
 def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:

@@ -85,3 +85,17 @@ def approx_top_k(df: DataFrame, value: str, k: int, items: int = 10_000) -> Data
 
 def count_min(df: DataFrame, value: str, eps: float = 0.001, confidence: float = 0.99, seed: int = 1) -> DataFrame:
     return df.agg(F.count_min_sketch(value, F.lit(eps), F.lit(confidence), F.lit(seed)).alias("sketch"))
+
+
+def binned_drift(a: DataFrame, b: DataFrame, bin_col: str) -> DataFrame:
+    """Kolmogorov-Smirnov, Wasserstein (in bins) and Jensen-Shannon distance of two histograms:
+    both are counted first, the running sums go over one row a bin."""
+    from pyspark.sql import Window as W
+
+    counted = a.select(bin_col, F.lit(1.0).alias("x"), F.lit(0.0).alias("y")).unionByName(b.select(bin_col, F.lit(0.0).alias("x"), F.lit(1.0).alias("y")))
+    counted = counted.groupBy(bin_col).agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    everything, upto = W.partitionBy(), W.orderBy(bin_col).rowsBetween(W.unboundedPreceding, 0)
+    p = counted.select(bin_col, (F.col("x") / F.sum("x").over(everything)).alias("p"), (F.col("y") / F.sum("y").over(everything)).alias("q"))
+    p = p.withColumns({"gap": F.abs(F.sum(F.col("p") - F.col("q")).over(upto)), "m": (F.col("p") + F.col("q")) / 2})
+    part = lambda c: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / F.col("m"))).otherwise(0.0)
+    return p.agg(F.max("gap").alias("ks"), F.sum("gap").alias("wasserstein"), (F.sum(part("p") + part("q")) / 2).alias("js"))

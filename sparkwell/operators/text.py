@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import checkpoint
+
 K1, B = 1.2, 0.75
 
 
@@ -18,12 +20,14 @@ def _times(tokens_col: str, term: str) -> Column:
 
 
 def bm25(docs: DataFrame, id_col: str, text_col: str, terms: list[str], k1: float = K1, b: float = B) -> DataFrame:
-    """(id, score) of the documents that have any of the terms. Only the query's terms are
-    counted, inside each row, so nothing but one total row is shuffled."""
+    """(id, score) of the documents that have any of the terms. Texts are read once: the length
+    and the counts of the query's terms are written, a few numbers a document, and the totals and
+    scores come from them; nothing but one total row is shuffled."""
     rows = docs.select(F.col(id_col), tokens(F.col(text_col)).alias("_t"))
     rows = rows.select(
         id_col, F.size("_t").alias("_dl"),
         *[_times("_t", t).alias(f"_tf{i}") for i, t in enumerate(terms)])
+    rows = checkpoint(rows)
     total = rows.agg(
         F.count("*").alias("_n"), F.avg("_dl").alias("_avg"), *[F.sum((F.col(f"_tf{i}") > 0).cast("long")).alias(f"_df{i}") for i in range(len(terms))])
     both = rows.crossJoin(F.broadcast(total))  # one row
@@ -91,3 +95,75 @@ def chunk_sentences(docs: DataFrame, id_col: str, text_col: str, per_chunk: int
     rows = docs.select(id_col, s.alias("_s")).filter(F.size("_s") > 0)
     rows = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.size("_s") - 1) / per_chunk).cast("int"))))
     return rows.select(id_col, "chunk", F.array_join(F.slice("_s", F.col("chunk") * per_chunk + 1, F.lit(per_chunk)), " ").alias("body"))
+
+
+def to_tsquery(query: str, tokens_col: Column) -> Column:
+    """``&``, ``|``, ``!`` and brackets over words, as a condition on an array of tokens."""
+    import re
+
+    parts, at = re.findall(r"[&|!()]|[^\s&|!()]+", query.lower()), 0
+
+    def either() -> Column:
+        nonlocal at
+        out = both()
+        while at < len(parts) and parts[at] == "|":
+            at += 1
+            out = out | both()
+        return out
+
+    def both() -> Column:
+        nonlocal at
+        out = one()
+        while at < len(parts) and parts[at] == "&":
+            at += 1
+            out = out & one()
+        return out
+
+    def one() -> Column:
+        nonlocal at
+        if at >= len(parts):
+            raise ValueError(f"a word is missing in {query!r}")
+        part, at = parts[at], at + 1
+        if part == "!":
+            return ~one()
+        if part != "(":
+            return F.array_contains(tokens_col, part)
+        out = either()
+        if at >= len(parts) or parts[at] != ")":
+            raise ValueError(f"a bracket is open in {query!r}")
+        at += 1
+        return out
+
+    out = either()
+    if at < len(parts):
+        raise ValueError(f"{parts[at]!r} is out of place in {query!r}")
+    return out
+
+
+def plainto_tsquery(query: str, tokens_col: Column) -> Column:
+    """All words of a plain text."""
+    import re
+
+    return to_tsquery(" & ".join(re.findall(r"\w+", query)), tokens_col)
+
+
+def websearch_to_tsquery(query: str, tokens_col: Column) -> Column:
+    """Words, ``-word`` for none of it, ``or`` between alternatives."""
+    import re
+
+    sides = re.split(r"\s+or\s+", query.lower().strip())
+    return to_tsquery(" | ".join("(" + " & ".join(("!" if w[0] == "-" else "") + w.lstrip("-") for w in s.split()) + ")" for s in sides), tokens_col)
+
+
+def trigrams(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(gram, id): every run of three characters of every text, once."""
+    n = F.length(text_col)
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substring(F.col(text_col), i, F.lit(3))))
+    return docs.filter(n >= 3).select(F.explode(grams).alias("gram"), id_col)
+
+
+def like_by_trigrams(index: DataFrame, docs: DataFrame, id_col: str, text_col: str, part: str) -> DataFrame:
+    """Rows whose text contains ``part`` (three characters or more)."""
+    want = list(dict.fromkeys(part[i : i + 3] for i in range(len(part) - 2)))
+    ids = index.filter(F.col("gram").isin(want)).groupBy(id_col).agg(F.count("*").alias("n")).filter(F.col("n") == len(want)).select(id_col)
+    return docs.join(ids, id_col, "left_semi").filter(F.col(text_col).contains(part))

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import advanced, base, core, flagship, scalars, streams  # noqa: F401
+from . import advanced, base, core, flagship, more, scalars, streams  # noqa: F401
 
 
 def queries() -> dict:

@@ -224,13 +224,12 @@ def c_range_values(t):
 # --- normal forms and features
 
 
-@query("h_unicode", "SELECT doc_id, nfc_normalize(left(text, 80)) = left(text, 80) AS same, nfc_normalize('e' || chr(769)) AS accent FROM documents")
+@query("h_unicode", "SELECT doc_id, nfc_normalize(text) = text AS same, nfc_normalize('e' || chr(769)) AS accent FROM documents")
 def h_unicode(t):
     from ..functions.strings import normalize_unicode
 
-    head = F.left("text", F.lit(80))
     accent = normalize_unicode(F.concat(F.lit("é"), F.left("lang", F.lit(0))))
-    return t.documents.select("doc_id", (normalize_unicode(head) == head).alias("same"), accent.alias("accent"))
+    return t.documents.select("doc_id", (normalize_unicode(F.col("text")) == F.col("text")).alias("same"), accent.alias("accent"))
 
 
 @query("o_time_features", """

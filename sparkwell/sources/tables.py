@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; one is set only where it is unset."""
+    """``spark.checkpoint.dir`` of the session; one is set only where it is unset and driver and
+    executors are one process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="sparkwell-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

@@ -3,11 +3,11 @@ are dropped, as Spark does."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_dir
+
 
 def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", per_trigger: int | None = None, **options) -> DataFrame:
     r = spark.readStream.format(fmt).schema(schema).options(**options)
@@ -38,13 +38,21 @@ def deduplicate(stream: DataFrame, ts: str, keys: list[str], late: str) -> DataF
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
-def drain(stream: DataFrame, name: str, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
-    """All there is now, into a memory table (small results: tests and dashboards)."""
+def drain(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
+    """All there is now, as a table in the shared folder: each micro-batch is a folder by its
+    number, written anew if it is repeated; of a complete stream the last one holds all."""
     spark = stream.sparkSession
-    options = {"checkpointLocation": checkpoint or tempfile.mkdtemp(prefix="sparkwell-stream-")}
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).options(**options).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    root = f"{shared_dir(spark)}/sparkwell/{name}"
+    done: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/rows/{number}")
+        done.append(number)
+
+    apply_each_batch(stream, write, f"{root}/state", mode)
+    parts = done[-1:] if mode == "complete" else done
+    rows = spark.read.schema(stream.schema)
+    return rows.parquet(*[f"{root}/rows/{i}" for i in dict.fromkeys(parts)]) if parts else spark.createDataFrame([], stream.schema)
 
 
 def to_table(stream: DataFrame, path: str, checkpoint: str, fmt: str = "parquet", mode: str = "append"):
@@ -54,8 +62,8 @@ def to_table(stream: DataFrame, path: str, checkpoint: str, fmt: str = "parquet"
     return q
 
 
-def apply_each_batch(stream: DataFrame, apply, checkpoint: str):
+def apply_each_batch(stream: DataFrame, apply, checkpoint: str, mode: str = "append"):
     """``apply(batch, id)`` for every micro-batch, for upserts and change application."""
-    q = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q = stream.writeStream.foreachBatch(apply).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return q
