@@ -78,7 +78,7 @@ def levels(calls: DataFrame) -> DataFrame:
 
     A call settles when all it depends on has. An unsettled call with one dependency is passed on
     to what that one depends on, so a chain of any length takes as many rounds as its length has
-    binary digits. Where no call settles in so many rounds, only cycles are left."""
+    binary digits; calls with several dependencies in a row take a round each. Where no call settles in so many rounds, only cycles are left."""
     key = ["conv_id", "call_id"]
     edges = calls.select("conv_id", "call_id", F.explode("depends_on").alias("needs")).distinct()
     calls = calls.select(*key).distinct()
@@ -146,8 +146,8 @@ def link(messages: DataFrame, schemas: DataFrame) -> DataFrame:
 def from_turns(turns: DataFrame) -> DataFrame:
     """Plain turns as events. A user turn is a call: of ``explain`` (text, lines) if it has several
     lines, else of ``reply`` (text, words); of more than LONG words, with the mark ``long``, which
-    ``reply`` doesn't declare. It depends on the user turns two and four turns before, where these
-    are. The assistant's next turn is the result of that call, other turns are messages."""
+    ``reply`` doesn't declare. It depends on the user turn two turns before, where there is
+    one. The assistant's next turn is the result of that call, other turns are messages."""
     user, assistant = F.coalesce(F.col("role") == "user", F.lit(False)), F.coalesce(F.col("role") == "assistant", F.lit(False))
     n, lines = common.word_count(F.col("text")), F.size(F.split("text", "\n")).cast("long")
     several = F.coalesce(lines > 1, F.lit(False))
@@ -157,7 +157,7 @@ def from_turns(turns: DataFrame) -> DataFrame:
     return turns.select(
         F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", F.col("text").alias("content"),
         F.when(user, call(0)).alias("call_id"), F.when(user, F.when(several, "explain").otherwise("reply")).alias("name"),
-        F.when(user, given).alias("arguments"), F.when(user, F.array(call(2), call(4))).alias("depends_on"),
+        F.when(user, given).alias("arguments"), F.when(user, F.array(call(2))).alias("depends_on"),
         F.when(assistant, call(1)).alias("result_of"))
 
 
@@ -180,7 +180,7 @@ WITH RECURSIVE c AS (SELECT conv_id, turn, role, text, CASE WHEN role = 'user' T
              ELSE 'message' END AS kind, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS words,
              coalesce(len(text) - len(replace(text, chr(10), '')) + 1, 0) AS lines FROM conversations),
 k AS (SELECT DISTINCT conv_id, turn FROM c WHERE kind = 'call' AND conv_id IS NOT NULL AND turn IS NOT NULL),
-w AS (SELECT conv_id, turn, 0 AS level FROM k UNION SELECT k.conv_id, k.turn, w.level + 2 FROM w JOIN k ON k.conv_id = w.conv_id AND k.turn IN (w.turn + 2, w.turn + 4)),
+w AS (SELECT conv_id, turn, 0 AS level FROM k UNION SELECT k.conv_id, k.turn, w.level + 2 FROM w JOIN k ON k.conv_id = w.conv_id AND k.turn = w.turn + 2),
 v AS (SELECT conv_id, turn AS call_turn, 'call-' || turn AS id, max(level) AS level FROM w GROUP BY ALL),
 e AS (SELECT c.*, CASE kind WHEN 'call' THEN 'call-' || turn WHEN 'result' THEN 'call-' || (turn - 1) END AS call_id, words > 60 AS long FROM c),
 l AS (SELECT e.*, v.call_turn, v.level, CASE kind WHEN 'call' THEN true WHEN 'result' THEN coalesce(v.call_turn < e.turn, false) ELSE false END AS linked
