@@ -73,6 +73,28 @@ def test_levels_of_random_graphs(spark):
     assert got == want
 
 
+def test_levels_by_blocks_of_turns(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(chat, "BLOCK", 8)
+    monkeypatch.setattr(chat, "WIDER", 4)
+    monkeypatch.setattr(chat, "BLOCK_EDGES", 24)
+    monkeypatch.setattr(chat, "TERMS", 3)
+    rng = random.Random(7)
+    rows = [(0, i, str(i), [str(i - 2), str(i - 4)]) for i in range(300)]
+    for conv in range(1, 9):  # near and far, later turns, several calls a turn, no turn
+        for i in range(60):
+            deps = [str(d) for d in (i - 1 - rng.randrange(5), i - 1 - rng.randrange(5), rng.randrange(i + 1) - 1) if d >= 0 and rng.random() < 0.7]
+            turn = {1: i, 2: 59 - i, 3: i // 4, 4: i * 1_000_003, 5: 0, 6: None if i % 7 == 0 else i}.get(conv, rng.randrange(60))
+            rows.append((conv, turn, str(i), deps))
+    rows += [(9, i, str(i), [str((i + 1) % 30)] if i < 30 else [str(i - 1)]) for i in range(60)] + [(None, 1, "0", ["1"]), (None, 2, "1", [])]
+    got = {(r.conv_id, r.call_id): r.level for r in chat.levels(spark.createDataFrame(rows, "conv_id long, turn long, call_id string, depends_on array<string>")).collect()}
+    want: dict = {}
+    for conv, _, i, deps in rows:
+        want[conv, i] = None if conv in (9, None) else max((want[conv, d] + 2 for d in deps if (conv, d) in want), default=0)
+    assert got == want
+
+
 def test_turns_call_several_tools_in_levels(spark):
     turns = [(1, 0, "user", "a b"), (1, 1, "assistant", "r"), (1, 2, "user", "two\nlines"), (1, 4, "user", "w " * 70), (1, 6, "user", "w " * 70 + "\n")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
