@@ -13,7 +13,8 @@ Queries that meet fewer than k entries are compared with all vectors, in blocks.
 has no more than PROBES cells (some 250 vectors) every cell is looked into, and the search is exact.
 
 The vectors of the queries are broadcast while they take at most BROADCAST_BYTES, else they
-join by shuffle.
+join by shuffle. Nothing else that follows the number of vectors is broadcast: cells and vectors
+meet by shuffle, whatever size Spark takes them to have.
 
 Cases: vectors null, zero, or with null or non-finite components take no part, nor do rows
 with a null id; rows that repeat an id and vector count once; vectors of different lengths are
@@ -182,9 +183,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     wanted_here = wanted.filter(F.size("q").isin(list(sizes))) if sizes else wanted.limit(0)
     index = _hashed(entries.select("rep", "v"), "rep", parts_of, None)
     asked = _hashed(wanted_here.select("query_id", "q"), "query_id", parts_of, probes_for(max(sizes.values(), default=0)))
-    pairs = asked.join(index, "cell").select("query_id", "rep").distinct()
-    small = F.broadcast(wanted) if n_queries * width * 8 <= BROADCAST_BYTES else wanted
-    scored = _distances(pairs.join(entries, "rep").join(small, "query_id"))
+    # Spark takes a query's hundreds of cells for one row and would broadcast them all; they grow with
+    # the table, so these joins are told to shuffle.
+    pairs = asked.join(index.hint("merge"), "cell").select("query_id", "rep").distinct()
+    small = F.broadcast(wanted_here) if n_queries * width * 8 <= BROADCAST_BYTES else wanted_here.hint("merge")
+    scored = _distances(pairs.join(entries.hint("merge"), "rep").join(small, "query_id"))
     best = W.partitionBy("query_id").orderBy("score")  # with rank(), ties at the cut stay
     top = scored.withColumn("_r", F.rank().over(best)).filter(F.col("_r") <= k + 1).drop("_r")
     near = common.materialize(_expand(top, members, k), "ann-found")
@@ -193,7 +196,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     if lacking.head(1):
         blocks = entries.withColumn("block", F.pmod(F.hash("rep"), F.lit(BLOCKS)))
         every = lacking.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
-        full = _distances(every.join(blocks, "block"))
+        full = _distances(every.join(blocks.hint("merge"), "block"))
         top = full.withColumn("_r", F.rank().over(best)).filter(F.col("_r") <= k + 1).drop("_r")
         near = near.join(lacking.select("query_id"), "query_id", "left_anti").unionByName(_expand(top, members, k))
     rank = W.partitionBy("query_id").orderBy("score", "vec_id")
@@ -203,7 +206,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 def _expand(top: DataFrame, members: DataFrame, k: int) -> DataFrame:
     """The k nearest ids behind the entries of ``top``."""
     rank = W.partitionBy("query_id").orderBy("score", "vec_id")
-    rows = top.join(members, "rep").filter(F.col("vec_id") != F.col("query_id")).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    rows = top.join(members.hint("merge"), "rep").filter(F.col("vec_id") != F.col("query_id")).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     return rows.withColumn("_r", F.row_number().over(rank)).filter(F.col("_r") <= k).drop("_r")
 
 

@@ -91,3 +91,17 @@ def test_cells_do_not_empty_as_tables_grow():
         probed, held = ann.probe_cells(q, parts, t, ann.probes_for(len(x))), ann.cells(x[near.ravel()], parts, t).reshape(near.shape)
         hit |= (held[:, :, None] == probed[:, None, :]).any(2)
     assert hit.mean() >= 0.92
+
+
+def test_cells_and_vectors_are_not_broadcast(spark, monkeypatch):
+    plans, write = {}, ann.common.materialize
+
+    def keep(df, tag):
+        plans[tag] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, tag)
+
+    monkeypatch.setattr(ann.common, "materialize", keep)
+    df = table(spark, dict(enumerate(np.random.default_rng(6).normal(size=(400, 8)))))
+    assert ann.search(df, df.filter("vec_id % 100 = 0")).count() == 40
+    joins = [line for line in plans["ann-found"].splitlines() if "HashJoin [" in line]
+    assert len(joins) == 1 and "BroadcastHashJoin [query_id" in joins[0]  # the queries' vectors, bounded
