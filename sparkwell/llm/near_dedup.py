@@ -11,11 +11,12 @@
 3. Candidates are texts with an equal sample. A first round links each text of a bucket to the
    bucket's least text only: as many pairs as rows, however large the bucket. A second round
    takes the buckets whose texts then still lie in several classes: small ones pair across
-   classes; the texts of larger ones meet by a prefix filter instead: two texts whose shingles have
-   similarity 0.8 share one of their rarest fifth. There, too, each shingle's texts are first linked
-   to one of them, then paired across what classes are left, so no such pair is dropped. Texts
-   similar by words alone, with edits that break more shingles, are linked there to the texts that
-   are the centres of a bucket or a rare shingle, and through these.
+   classes; the texts of larger ones meet by two prefix filters instead, one on distinct shingles and
+   one on words with their occurrence: two texts whose shingles (or words) have similarity 0.8 share
+   one of their rarest fifth. There, too, each token's texts are first linked to one of them, then
+   paired across what classes are left. Of the pairs so met those are left out whose sets differ in
+   more than similarity 0.8 allows, by a lower bound; so no similar pair is dropped, whether it is
+   similar by shingles or by words alone.
 4. Verification is exact: the words of both texts are aligned (longest common subsequence) inside
    the band that similarity 0.8 leaves room for, and the aligned ones must be at least 0.8 of the
    union: one changed word costs one word, wherever it stands. A text whose repeated words or
@@ -38,6 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
@@ -46,8 +48,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 ELL, BANDS = 3, 40
 SMALL_ELL, SMALL_BANDS, SMALL_TEXT = 2, 20, 80
-#: Buckets up to this many classes pair all of them; larger ones go through the prefix filter.
+#: Buckets up to this many classes pair all of them; larger ones go through the prefix filters.
 PAIR_BUCKET = 24
+#: Longs of 64 bits that hold the parities of a text's tokens.
+PARITIES = 4
 
 _M = np.uint64(0xFF51AFD7ED558CCD)
 _N = np.uint64(0xC4CEB9FE1A85EC53)
@@ -375,32 +379,36 @@ def _secluded(tokens: DataFrame) -> DataFrame:
     return alone.filter(F.col("n") - F.col("alone") < F.ceil(F.col("n") * SIMILARITY - 1e-9)).select("node")
 
 
-def _prefixes(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, root, n, alone, at, token): the first shingles, in order of rarity, of each of
-    ``members`` (node, root, n), as many as its partners in other classes must have one of."""
+def _prefixes(members: DataFrame, texts: DataFrame, by: str = "shingles") -> DataFrame:
+    """(node, root, n, alone, odd, at, token): the first tokens, in order of rarity, of each of
+    ``members`` (node, root, n), as many as its partners in other classes must have one of.
+    Tokens are a profile's ``shingles`` or ``labelled`` words, n is their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
-                values = profile(b.column(3)[k].as_py()).shingles.view(np.int64)
+                values = getattr(profile(b.column(3)[k].as_py()), by).view(np.int64)
                 same = [pa.array([b.column(c)[k].as_py()] * len(values), b.schema.field(c).type) for c in range(3)]
                 yield pa.RecordBatch.from_arrays([*same, pa.array(values)], ["node", "root", "n", "token"])
 
     tokens = common.materialize(
         members.join(texts, "node").select("node", "root", "n", "text").mapInArrow(run, "node binary, root binary, n int, token long"), "tokens")
     # The cheap rule first; with the texts gone that it finds, more shingles are of one class only.
-    for unfit in (_lonely, _secluded):
+    # Few texts have so many words of their own, which the places kept below show as well.
+    for unfit in (_lonely, _secluded) if by == "shingles" else ():
         tokens = common.materialize(tokens.join(unfit(tokens), "node", "left_anti"), "tokens")
-    # Shingles of one class only come first in the order of rarity: no pair across classes has
+    # Tokens of one class only come first in the order of rarity: no pair across classes has
     # them. How many a text has follows from its others, so they needn't be joined or sorted.
-    counts = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    counts = counts.filter("lo <> hi").select("token", "df")
-    mine = tokens.join(counts, "token").groupBy("node", "root", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
+    each = W.partitionBy("token")
+    counted = tokens.select("*", F.count("*").over(each).alias("df"), F.min("root").over(each).alias("lo"), F.max("root").over(each).alias("hi")).filter("lo <> hi")
+    odd = [F.bit_xor(F.when(F.shiftright("token", 6).bitwiseAND(PARITIES - 1) == k, F.expr("shiftleft(1L, int(token & 63))")).otherwise(F.lit(0).cast("long")))
+           .alias(f"p{k}") for k in range(PARITIES)]
+    mine = counted.groupBy("node", "root", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"), F.struct(*odd).alias("odd"))
     alone = F.col("n") - F.size("t")
     keep = (F.col("n") - F.ceil(F.col("n") * SIMILARITY - 1e-9) + 1 - alone).cast("int")
     mine = mine.withColumns({"alone": alone, "keep": keep}).filter("keep > 0")
-    rare = mine.select("node", "root", "n", "alone", F.posexplode(F.slice("t", F.lit(1), F.col("keep"))).alias("at", "x"))
-    rare = rare.select("node", "root", "n", "alone", (F.col("alone") + F.col("at")).alias("at"), F.col("x.token").alias("token"))
+    rare = mine.select("node", "root", "n", "alone", "odd", F.posexplode(F.slice("t", F.lit(1), F.col("keep"))).alias("at", "x"))
+    rare = rare.select("node", "root", "n", "alone", "odd", (F.col("alone") + F.col("at")).alias("at"), F.col("x.token").alias("token"))
     return common.materialize(rare, "prefixes")
 
 
@@ -411,31 +419,42 @@ def _room():
     return F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= need
 
 
+def _differ_little():
+    """The two token sets differ in no more than SIMILARITY allows, as far as counts show: in each
+    text's tokens of its own class alone, and in one token at least for each bit of parity that
+    differs among the others."""
+    bits = sum((F.bit_count(F.col(f"oa.p{k}").bitwiseXOR(F.col(f"ob.p{k}"))) for k in range(PARITIES)), F.col("la") + F.col("lb"))
+    return bits <= (1 - 2 * SIMILARITY / (1 + SIMILARITY)) * (F.col("na") + F.col("nb")) + 1e-6
+
+
 def _prefix_stars(rare: DataFrame) -> DataFrame:
-    """The pairs of each shingle's texts with the one of them that has the least share of
-    shingles of its own: at most one pair a row. In a family of near copies that text is close
+    """The pairs of each token's texts with the one of them that has the least share of
+    tokens of its own: at most one pair a row. In a family of near copies that text is close
     to most others, so that few of them are still in other classes afterwards."""
-    centre = F.struct((F.col("alone") / F.col("n")).alias("share"), F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("at").alias("ib"))
+    centre = F.struct((F.col("alone") / F.col("n")).alias("share"), F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("at").alias("ib"), F.col("alone").alias("lb"), F.col("odd").alias("ob"))
     centres = rare.groupBy("token").agg(F.count("*").alias("df"), F.min(centre).alias("x")).filter("df > 1").select("token", "x.*")
-    a = rare.select(F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("at").alias("ia"), "token")
+    a = rare.select("node", "root", "n", "at", "token", "alone", "odd").toDF("a", "ra", "na", "ia", "token", "la", "oa")
     apart = (F.col("ra") != F.col("rb")) & (F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb"))
-    return a.join(centres, "token").filter(apart & _room()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return a.join(centres, "token").filter(apart & _room() & _differ_little()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _prefix_pairs(rare: DataFrame) -> DataFrame:
-    """All pairs across classes with a common shingle in their prefixes; every pair of
-    SIMILARITY or more that isn't in one class is among them.
-
-    Of each shingle's classes the largest is paired with the others only: two texts of one large
-    class never meet, and a shingle of one class is left out."""
-    rare = rare.select("node", "root", "n", "at", "token")
-    per = rare.groupBy("token", "root").agg(F.count("*").alias("df"))
-    largest = per.groupBy("token").agg(F.max(F.struct("df", "root")).alias("x"), F.count("*").alias("classes"))
-    rare = rare.join(largest.filter("classes > 1").select("token", F.col("x.root").alias("largest")), "token")
-    others = rare.filter("root <> largest").select("node", "root", "n", "at", "token").toDF("a", "ra", "na", "ia", "token")
-    b = rare.select("node", "root", "n", "at", "token").toDF("b", "rb", "nb", "ib", "token")
+    """All pairs across classes with a common token in their prefixes that may be similar; every pair
+    of SIMILARITY or more that isn't in one class is among them.
+
+    Of each token's classes the largest is paired with the others only: two texts of one large
+    class never meet, and a token of one class is left out."""
+    more = ["alone", "odd"] if "odd" in rare.columns else []
+    rare = rare.select("node", "root", "n", "at", "token", *more)
+    each = W.partitionBy("token")
+    rare = rare.select("*", F.min("root").over(each).alias("lo"), F.max("root").over(each).alias("hi")).filter("lo <> hi")
+    rare = rare.withColumn("df", F.count("*").over(W.partitionBy("token", "root"))).withColumn("largest", F.max(F.struct("df", "root")).over(each)["root"])
+    others = rare.filter("root <> largest").select("node", "root", "n", "at", "token", *more).toDF("a", "ra", "na", "ia", "token", *["la", "oa"][: len(more)])
+    b = rare.select("node", "root", "n", "at", "token", "largest", *more).toDF("b", "rb", "nb", "ib", "token", "largest", *["lb", "ob"][: len(more)])
     apart = (F.col("ra") != F.col("rb")) & (F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb"))
-    return others.join(b, "token").filter(apart & _room()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    once = (F.col("rb") == F.col("largest")) | (F.col("a") < F.col("b"))
+    near = _room() & _differ_little() if more else _room()
+    return others.join(b, "token").filter(apart & once & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _pairable():
@@ -491,9 +510,10 @@ def _roots(made: DataFrame, docs: DataFrame) -> DataFrame:
     many = mixed.filter(F.col("members") > PAIR_BUCKET).select("node", "root", "n", "w").distinct()
     rares = []
     if many.head(1):
-        rares = [_prefixes(many.select("node", "root", "n"), texts)]
+        rares = [_prefixes(many.select("node", "root", "n"), texts),
+                 _prefixes(many.select("node", "root", F.col("w").alias("n")), texts, "labelled")]
         # Stars first: classes that they join need no pairs across.
-        stars = _prefix_stars(rares[0])
+        stars = _prefix_stars(rares[0]).unionByName(_prefix_stars(rares[1])).distinct()
         stars = common.materialize(stars.join(seen, ["a", "b"], "left_anti"), "stars1")
         near = common.materialize(_verified(stars, texts), "links")
         seen = seen.unionByName(stars)

@@ -213,3 +213,22 @@ def test_prefix_pairs_meet_across_classes_only(spark):
                     want.add((a[0], b[0]))
     got = [(bytes(r.a), bytes(r.b)) for r in nd._prefix_pairs(rare).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+
+
+def passage_pairs():
+    """Thirty pairs in one large bucket: a passage of all texts, then words of which every fifth
+    differs inside the pair. Each pair is similar by words, not by shingles."""
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(140)]
+    texts = []
+    for k in range(30):
+        tail = [f"t{k}_{rng.randrange(10**6)}" for _ in range(60)]
+        texts += [passage + tail, passage + [f"e{k}_{i}" if i % 5 == 2 else w for i, w in enumerate(tail)]]
+    return [" ".join(t) for t in texts]
+
+
+def test_large_buckets_lose_no_pair_similar_by_words(spark):
+    texts = passage_pairs()
+    want = union(texts)
+    assert len(set(want.values())) == 30
+    assert classes(spark, texts) == want
