@@ -232,3 +232,9 @@ def test_large_buckets_lose_no_pair_similar_by_words(spark):
     want = union(texts)
     assert len(set(want.values())) == 30
     assert classes(spark, texts) == want
+
+
+def test_stage_keeps_one_of_each_pair_similar_by_words(spark):
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(passage_pairs())]
+    out = nd.stage(spark, spark.createDataFrame(rows, SCHEMA), "")
+    assert sorted(r.doc_id for r in out.collect()) == list(range(0, 60, 2))
