@@ -4,6 +4,8 @@
    number. A sample is the ELL labelled k-mers with the least values of one hash function, in
    text order; texts that share most of their words in the same order share samples. BANDS
    samples are taken, and for texts of few shingles SMALL_BANDS of two k-mers as well.
+   Texts similar by words may share few shingles (a change at every ninth word leaves less than
+   half) or none, so texts are sampled by word pairs as well, and short ones by words.
    A text that repeats shingles is sampled by its distinct ones in order of first occurrence
    too, so texts may differ in how often a passage is repeated.
 2. Exact copies (the same words) become one class by a 128-bit hash before anything else, so a
@@ -48,6 +50,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 ELL, BANDS = 3, 40
 SMALL_ELL, SMALL_BANDS, SMALL_TEXT = 2, 20, 80
+#: Texts up to this many words are sampled by words as well, those from SIMILARITY of it by word pairs.
+SHORT_TEXT = 30
 #: Buckets up to this many classes pair all of them; larger ones go through the prefix filters.
 PAIR_BUCKET = 24
 #: Longs of 64 bits that hold the parities of a text's tokens.
@@ -146,6 +150,12 @@ def _keys(kmers: np.ndarray, n: int) -> np.ndarray:
     return keys
 
 
+def _short_kmers(n: int) -> list[int]:
+    """The lengths of the other k-mers that a text of n words is sampled by: of two texts that may be
+    similar both have words, or both have word pairs."""
+    return [1] * (n <= SHORT_TEXT) + [2] * (n >= SIMILARITY * SHORT_TEXT)
+
+
 def node_of(words: np.ndarray) -> bytes:
     """128-bit hash of a word sequence."""
     n = len(words)
@@ -166,7 +176,11 @@ def sketch(text: str | None) -> tuple[bytes, int, int, np.ndarray]:
     if len(sh):
         keys = _keys(labelled(sh), len(sh))
         if len(distinct) < len(sh):  # else the two are the same
-            keys = np.unique(np.concatenate([keys, _keys(labelled(distinct), len(distinct))]))
+            keys = np.concatenate([keys, _keys(labelled(distinct), len(distinct))])
+        # Texts similar by words may have few shingles in common, or none.
+        for k in _short_kmers(len(words)):
+            keys = np.concatenate([keys, _keys(labelled(shingles(words, k)), len(words))])
+        keys = np.unique(keys)
     return node_of(words), len(distinct), len(words), keys
 
 

@@ -238,3 +238,28 @@ def test_stage_keeps_one_of_each_pair_similar_by_words(spark):
     rows = [(i, t, "en", "s", 0) for i, t in enumerate(passage_pairs())]
     out = nd.stage(spark, spark.createDataFrame(rows, SCHEMA), "")
     assert sorted(r.doc_id for r in out.collect()) == list(range(0, 60, 2))
+
+
+def spread_edits():
+    """Pairs of texts with a change at every ninth word, or one word more in five: similar by words
+    to just 0.8, with few common shingles or none."""
+    rng = random.Random(9)
+    texts = []
+    for n in (4, 9, 18, 27, 45, 90, 270):
+        for _ in range(12):
+            words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+            edited = [f"e{rng.randrange(10**6)}" if i % 9 == 4 else w for i, w in enumerate(words)]
+            texts += [words, words[:2] + ["more"] + words[2:] if n == 4 else edited]
+    return [" ".join(t) for t in texts]
+
+
+def test_pairs_similar_by_words_share_a_sample(spark):
+    texts = spread_edits()
+    assert all(alike(a, b) for a, b in zip(texts[::2], texts[1::2], strict=True))
+    assert classes(spark, texts) == {i: i - i % 2 for i in range(len(texts))}
+
+
+def test_stage_keeps_one_of_each_pair_with_spread_edits(spark):
+    texts = spread_edits()
+    out = nd.stage(spark, spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA), "")
+    assert sorted(r.doc_id for r in out.collect()) == list(range(0, len(texts), 2))
