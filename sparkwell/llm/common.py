@@ -59,5 +59,15 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the files of shuffles deleted that no plan needs any more, such as those behind a table just written.
+
+    Spark deletes them when the driver's garbage collector finds them unused; a driver with memory to spare
+    finds that late, and the shuffles of several steps lie on the disks at once. Measured: what a plan held
+    goes with the second collection only."""
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -60,6 +60,7 @@ PARITIES = 4
 _M = np.uint64(0xFF51AFD7ED558CCD)
 _N = np.uint64(0xC4CEB9FE1A85EC53)
 _S = np.uint64(33)
+_MOST = np.uint64(2**64 - 1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -134,7 +135,11 @@ def _samples(kmers: np.ndarray, ell: int, seeds: np.ndarray) -> np.ndarray:
         for i in range(0, len(seeds), step):
             h = kmers[None, :] * seeds[i : i + step, None]
             h = (h ^ (h >> np.uint64(29))) * _M
-            parts.append(np.sort(np.argpartition(h, ell - 1, axis=1)[:, :ell], axis=1))
+            at = np.empty((len(h), ell), np.int64)
+            for j in range(ell):  # faster than a partition
+                at[:, j] = h.argmin(axis=1)
+                h[np.arange(len(h)), at[:, j]] = _MOST
+            parts.append(np.sort(at, axis=1))
         picked = kmers[np.concatenate(parts)]
     key = np.zeros(len(seeds), np.uint64)
     for i in range(picked.shape[1]):
@@ -200,6 +205,13 @@ def _sketches(docs: DataFrame) -> DataFrame:
         run, "doc_id long, h long, node binary, n int, w int, keys array<long>")
 
 
+def _written(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` as a table in the shared folder, rid of the shuffles behind it."""
+    out = common.materialize(df, tag)
+    common.release(df.sparkSession)
+    return out
+
+
 def _text_hash():
     return F.xxhash64("text").alias("h")
 
@@ -405,12 +417,12 @@ def _prefixes(members: DataFrame, texts: DataFrame, by: str = "shingles") -> Dat
                 same = [pa.array([b.column(c)[k].as_py()] * len(values), b.schema.field(c).type) for c in range(3)]
                 yield pa.RecordBatch.from_arrays([*same, pa.array(values)], ["node", "root", "n", "token"])
 
-    tokens = common.materialize(
+    tokens = _written(
         members.join(texts, "node").select("node", "root", "n", "text").mapInArrow(run, "node binary, root binary, n int, token long"), "tokens")
     # The cheap rule first; with the texts gone that it finds, more shingles are of one class only.
     # Few texts have so many words of their own, which the places kept below show as well.
     for unfit in (_lonely, _secluded) if by == "shingles" else ():
-        tokens = common.materialize(tokens.join(unfit(tokens), "node", "left_anti"), "tokens")
+        tokens = _written(tokens.join(unfit(tokens), "node", "left_anti"), "tokens")
     # Tokens of one class only come first in the order of rarity: no pair across classes has
     # them. How many a text has follows from its others, so they needn't be joined or sorted.
     each = W.partitionBy("token")
@@ -423,7 +435,7 @@ def _prefixes(members: DataFrame, texts: DataFrame, by: str = "shingles") -> Dat
     mine = mine.withColumns({"alone": alone, "keep": keep}).filter("keep > 0")
     rare = mine.select("node", "root", "n", "alone", "odd", F.posexplode(F.slice("t", F.lit(1), F.col("keep"))).alias("at", "x"))
     rare = rare.select("node", "root", "n", "alone", "odd", (F.col("alone") + F.col("at")).alias("at"), F.col("x.token").alias("token"))
-    return common.materialize(rare, "prefixes")
+    return _written(rare, "prefixes")
 
 
 def _room():
@@ -502,19 +514,25 @@ def _choice(rows: DataFrame, key: str) -> DataFrame:
         F.col(key).alias("_key"), F.col("x.doc_id").alias("_id"), F.col("x.h").alias("_h"), F.col("x._rows").alias("_rows"))
 
 
+def _buckets(nodes: DataFrame) -> DataFrame:
+    """(node, n, w, key, members, least) of each key of two nodes or more. The keys are the most rows
+    of all steps; by a window they are exchanged once, a join with their counts would exchange them twice."""
+    each = W.partitionBy("key")
+    spread = nodes.select("node", "n", "w", F.explode("keys").alias("key"))
+    return spread.select("*", F.count("*").over(each).alias("members"), F.min("node").over(each).alias("least")).filter("members > 1")
+
+
 def _roots(made: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, root) of the nodes that have a similar other node."""
     # One row a node: equal nodes have equal sketches.
     nodes = made.groupBy("node").agg(F.first("n").alias("n"), F.first("w").alias("w"), F.first("keys").alias("keys"))
-    spread = nodes.select("node", "n", "w", F.explode("keys").alias("key"))
-    buckets = spread.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("least")).filter("members > 1")
-    shared = common.materialize(spread.join(buckets, "key"), "buckets")
+    shared = _written(_buckets(nodes), "buckets")
     # Texts are fetched for the nodes that share a bucket only.
     wanted = made.select("node", "doc_id", "h").join(shared.select("node").distinct(), "node", "left_semi")
-    texts = common.materialize(_pick(docs, _choice(wanted, "node")).select(F.col("_key").alias("node"), "text"), "texts")
+    texts = _written(_pick(docs, _choice(wanted, "node")).select(F.col("_key").alias("node"), "text"), "texts")
     first = common.materialize(
         shared.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "stars0")
-    links = common.materialize(_verified(first, texts), "links")
+    links = _written(_verified(first, texts), "links")
     roots = components(links)
     # Second round: buckets that still hold several classes.
     state = common.materialize(_rooted(shared, roots).select("key", "node", "n", "w", "root", "members"), "state")
@@ -529,7 +547,7 @@ def _roots(made: DataFrame, docs: DataFrame) -> DataFrame:
         # Stars first: classes that they join need no pairs across.
         stars = _prefix_stars(rares[0]).unionByName(_prefix_stars(rares[1])).distinct()
         stars = common.materialize(stars.join(seen, ["a", "b"], "left_anti"), "stars1")
-        near = common.materialize(_verified(stars, texts), "links")
+        near = _written(_verified(stars, texts), "links")
         seen = seen.unionByName(stars)
         if near.head(1):
             found = found.unionByName(near)
@@ -542,10 +560,10 @@ def _roots(made: DataFrame, docs: DataFrame) -> DataFrame:
         pairs = pairs.unionByName(_prefix_pairs(rare))
     pairs = pairs.distinct()
     # Pairs that failed needn't be looked at again.
-    pairs = common.materialize(pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
+    pairs = _written(pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
     if not pairs.head(1):
         return roots
-    more = common.materialize(_verified(pairs, texts), "links")
+    more = _written(_verified(pairs, texts), "links")
     return components(found.unionByName(more)) if more.head(1) else roots
 
 

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -263,3 +264,42 @@ def test_stage_keeps_one_of_each_pair_with_spread_edits(spark):
     texts = spread_edits()
     out = nd.stage(spark, spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA), "")
     assert sorted(r.doc_id for r in out.collect()) == list(range(0, len(texts), 2))
+
+
+def test_samples_are_as_by_partition():
+    rng = np.random.default_rng(6)
+    for n in (1, 3, 4, 50, 70_000):
+        kmers = rng.integers(0, 2**63, n, dtype=np.uint64)
+        for ell in (2, 3):
+            if n <= ell:
+                continue
+            seeds = nd._SEEDS[:50]
+            h = kmers[None, :] * seeds[:, None]
+            h = (h ^ (h >> np.uint64(29))) * nd._M
+            picked = kmers[np.sort(np.argpartition(h, ell - 1, axis=1)[:, :ell], axis=1)]
+            key = np.zeros(len(seeds), np.uint64)
+            for i in range(ell):
+                key = nd.mix(key * nd._BASE + picked[:, i])
+            assert (nd._samples(kmers, ell, seeds) == nd.mix(key + seeds)).all()
+
+
+def test_keys_are_exchanged_once(spark):
+    """Each exchange of the keys is the operator's largest use of disk."""
+    rows = [(bytes([i]), 1, 1, [i, i // 2 + 100, 999]) for i in range(40)]
+    made = nd._buckets(spark.createDataFrame(rows, "node binary, n int, w int, keys array<long>"))
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(key") == 1
+    got = {(bytes(r.node), r.key, r.members, bytes(r.least)) for r in made.collect()}
+    assert got == {(bytes([i]), i // 2 + 100, 2, bytes([i // 2 * 2])) for i in range(40)} | {(bytes([i]), 999, 40, bytes([0])) for i in range(40)}
+
+
+def test_shuffles_are_deleted_with_their_step(spark):
+    def shuffles():
+        return spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+
+    for k in range(5):
+        nd._written(spark.range(1000).groupBy((nd.F.col("id") % 7).alias("k")).count(), "counts")
+    for _ in range(20):  # deleted in the background
+        if shuffles() <= 2:
+            break
+        time.sleep(0.1)
+    assert shuffles() <= 2  # the last step's may be late
