@@ -42,4 +42,9 @@ def time_features(ts: Column) -> list[Column]:
     angle = F.hour(ts) * (2 * 3.141592653589793 / 24)
     return [
         F.hour(ts).alias("hour"), (F.dayofweek(ts) - 1).alias("weekday"), F.dayofweek(ts).isin(1, 7).alias("weekend"),
-        F.round(F.sin(angle), 6).alias("hour_sin"), F.round(F.cos(angle), 6).alias("hour_cos")]
+        _round_signed(F.sin(angle)).alias("hour_sin"), _round_signed(F.cos(angle)).alias("hour_cos")]
+
+
+def _round_signed(x: Column) -> Column:
+    """Six places; what rounds to zero from below is -0.0, of which Spark's round drops the sign."""
+    return F.when(x < 0, -F.round(-x, 6)).otherwise(F.round(x, 6))

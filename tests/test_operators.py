@@ -1,9 +1,11 @@
 """Small hand-computed cases of the operators."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
-from sparkwell.functions import arrays, geo, jsonpath, network, ranges
+from sparkwell.functions import arrays, geo, jsonpath, network, ranges, strings
 from sparkwell.operators import dml, graph, joins, mergetree, timeseries
 from sparkwell.sources import files, tables
 
@@ -129,3 +131,12 @@ def test_ranges(spark):
         ranges.overlaps(a, b).alias("o"), ranges.adjacent(a, b).alias("t"), ranges.contains(a, F.lit(1)).alias("c1"), ranges.contains(a, F.lit(5)).alias("c5"),
         ranges.intersection(ranges.make(F.lit(1), F.lit(7)), b).alias("i")).head()
     assert (got.o, got.t, got.c1, got.c5) == (False, True, True, False) and (got.i.lo, got.i.hi) == (5, 7)
+
+
+def test_time_features_keep_the_sign_of_zero(spark):
+    hours = spark.range(24).select(F.timestamp_seconds(F.col("id") * 3600).alias("ts"))
+    got = hours.union(spark.sql("SELECT CAST(NULL AS timestamp)")).select(*strings.time_features(F.col("ts"))).collect()
+    for r in got[:24]:
+        angle = r.hour * (2 * math.pi / 24)
+        assert repr((r.hour_sin, r.hour_cos)) == repr((round(math.sin(angle), 6), round(math.cos(angle), 6)))
+    assert repr(got[18].hour_cos) == "-0.0" and got[24].hour_cos is None
