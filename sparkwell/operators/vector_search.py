@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import vectors
+from . import pairwise
+
+#: Rows and queries of a block of the exact all-pairs searches.
+ROWS, QUERIES = 16_384, 8_192
 
 
 def knn(df: DataFrame, id_col: str, vec_col: str, query: list[float], k: int, metric: str = "euclidean", where: Column | None = None) -> DataFrame:
@@ -17,13 +25,43 @@ def knn(df: DataFrame, id_col: str, vec_col: str, query: list[float], k: int, me
 
 
 def batch_knn(df: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int, metric: str = "euclidean", blocks: int = 16) -> DataFrame:
-    """(query_id, id, distance, rank) of a stated set of queries against all rows: rows lie in
-    blocks and each query visits each block once."""
-    d = df.select(F.col(id_col).alias("_id"), F.col(vec_col).alias("_v"), F.pmod(F.hash(id_col), F.lit(blocks)).alias("_b"))
-    q = queries.select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("_q")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    pairs = q.join(d, "_b").filter("_id <> query_id").select("query_id", F.col("_id").alias(id_col), vectors.distance(F.col("_v"), F.col("_q"), metric).alias("distance"))
-    w = W.partitionBy("query_id").orderBy("distance", id_col)
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    """(query_id, id, distance, rank) of a stated set of queries against all rows, exact: rows and
+    queries lie in blocks of bounded size, each pair of blocks is one group of one task, which gives
+    k rows a query (``pairwise.nearest``). Rows without a distance come last, as in SQL."""
+    b, parts = max(blocks, -(-df.count() // ROWS)), max(1, -(-queries.count() // QUERIES))
+    place = lambda n: F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    row = [F.col(id_col).alias("_id"), F.col(vec_col).alias("_v")]
+    known = F.col(id_col).isNotNull()
+    d = df.filter(known).select(place(b).alias("_b"), each(parts).alias("_p"), F.lit(False).alias("_asks"), *row)
+    q = queries.filter(known).select(each(b).alias("_b"), place(parts).alias("_p"), F.lit(True).alias("_asks"), *row)
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        asks, ids, vecs = (t.column(c).combine_chunks() for c in ("_asks", "_id", "_v"))
+        asks, codes = asks.to_numpy(zero_copy_only=False), pc.rank(ids, tiebreaker="dense").to_numpy().astype(np.int64)
+        at_q, at_d, kind = np.flatnonzero(asks), np.flatnonzero(~asks), np.full(len(asks), -1)
+        found = []
+        for rows, m in pairwise.classes(vecs):
+            kind[rows] = m.shape[1]
+            i, j = asks[rows], ~asks[rows]
+            if i.any() and j.any():
+                x, y, dist = pairwise.nearest(m[i], codes[rows[i]], m[j], codes[rows[j]], k, metric)
+                found.append((rows[i][x], rows[j][y], dist))
+        got = np.bincount(np.concatenate([f[0] for f in found]), minlength=len(asks)) if found else np.zeros(len(asks), int)
+        if len(at_d) and (kind[at_d[0]] < 0 or (kind != kind[at_d[0]]).any()):  # rows without a distance fill up
+            sorted_d = at_d[np.argsort(codes[at_d], kind="stable")]
+            for i in at_q[got[at_q] < k]:
+                rest = sorted_d[((kind[sorted_d] != kind[i]) | (kind[i] < 0)) & (codes[sorted_d] != codes[i])][:k]
+                found.append((np.full(len(rest), i), rest, np.full(len(rest), np.nan)))
+        x, y, dist = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        none = (kind[x] != kind[y]) | (kind[x] < 0)
+        return pa.table({"query_id": ids.take(pa.array(x)), id_col: ids.take(pa.array(y)), "distance": pa.array(dist, mask=none)})
+
+    out = T.StructType([T.StructField("query_id", queries.schema[id_col].dataType), T.StructField(id_col, df.schema[id_col].dataType), T.StructField("distance", T.DoubleType())])
+    near = d.unionByName(q).groupBy("_b", "_p").applyInArrow(run, out)
+    w = W.partitionBy("query_id").orderBy(F.col("distance").asc_nulls_last(), id_col)
+    return near.select("query_id", id_col, "distance").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def reciprocal_rank_fusion(a: DataFrame, b: DataFrame, id_col: str, weights: tuple[float, float] = (0.5, 0.5), constant: int = 60) -> DataFrame:
