@@ -29,10 +29,12 @@ def chi_square_independence(df: DataFrame, a: str, b: str) -> DataFrame:
     rows = cells.groupBy(a).agg(F.sum("o").alias("r"))
     cols = cells.groupBy(b).agg(F.sum("o").alias("c"))
     total = cells.agg(F.sum("o").alias("n"))
-    # Empty cells add their expectation: sum over all of (o-e)^2/e = sum(o^2/e) - n.
-    s = cells.join(rows, a).join(cols, b).join(total).agg(F.sum(F.col("o") * F.col("o") * F.col("n") / (F.col("r") * F.col("c"))).alias("s"), F.first("n").alias("n"))
+    # In doubles, as products of counts leave a long. Empty cells add their expectation: what the others leave of n.
+    e = F.col("r").cast("double") * F.col("c") / F.col("n")
+    s = cells.join(rows, a).join(cols, b).join(total).agg(
+        F.sum((F.col("o") - e) * (F.col("o") - e) / e).alias("s"), F.sum(e).alias("e"), F.first("n").alias("n"))
     dims = cells.agg(((F.count_distinct(a) - 1) * (F.count_distinct(b) - 1)).alias("df"))
-    return s.join(dims).select((F.col("s") - F.col("n")).alias("chi2"), "df")
+    return s.join(dims).select((F.col("s") + F.col("n") - F.col("e")).alias("chi2"), "df")
 
 
 def chi_square_fit(df: DataFrame, value: str, expected: dict) -> DataFrame:
