@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -83,10 +85,30 @@ def linear_fusion(a: DataFrame, b: DataFrame, id_col: str, alpha: float = 0.5) -
 
 
 def similar_pairs(df: DataFrame, id_col: str, vec_col: str, group: str, threshold: float) -> DataFrame:
-    """(a, b, cosine) over a threshold among the rows of one group."""
-    a = df.select(F.col(group).alias("_g"), F.col(id_col).alias("a"), vectors.normalize(F.col(vec_col)).alias("_x"))
-    b = a.toDF("_g", "b", "_y")
-    return a.join(b, "_g").filter("a < b").select("a", "b", vectors.dot(F.col("_x"), F.col("_y")).alias("cosine")).filter(F.col("cosine") >= threshold)
+    """(a, b, cosine) over a threshold among the rows of one group, exact: a group's rows lie in
+    blocks of bounded size, each pair of its blocks is one group of one task (``pairwise.similar``)."""
+    rows = df.select(F.col(group).alias("_g"), F.col(id_col).alias("_id"), F.col(vec_col).alias("_v")).filter("_g IS NOT NULL AND _id IS NOT NULL")
+    sizes = rows.groupBy("_g").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("_n"))
+    mine = F.pmod(F.xxhash64("_id"), F.col("_n")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
+    laid = rows.join(sizes, "_g").select("_g", mine.alias("_m"), other.alias("_o"), "_id", "_v")
+    laid = laid.select("_g", F.least("_m", "_o").alias("_p"), F.greatest("_m", "_o").alias("_q"), (F.col("_m") > F.col("_o")).alias("_right"), "_id", "_v")
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches)).combine_chunks()
+        ids, right = t.column("_id").combine_chunks(), t.column("_right").to_numpy()
+        alone = key[1].as_py() == key[2].as_py()
+        for at, m in pairwise.classes(t.column("_v").combine_chunks()):
+            r = right[at]
+            left, l_ids, r_ids = (m, at, at) if alone else (m[~r], at[~r], at[r])
+            for x, y, c in pairwise.similar(left, None if alone else m[r], threshold):
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(l_ids[x])), ids.take(pa.array(r_ids[y])), pa.array(c)], ["x", "y", "cosine"])
+
+    kind = df.schema[id_col].dataType
+    out = T.StructType([T.StructField("x", kind), T.StructField("y", kind), T.StructField("cosine", T.DoubleType())])
+    found = laid.groupBy("_g", "_p", "_q").applyInArrow(run, out)
+    return found.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "cosine")
 
 
 def ivf(df: DataFrame, id_col: str, vec_col: str, lists: int, seed: int = 1):

@@ -54,3 +54,26 @@ def test_batch_knn_of_odd_vectors(spark):
         *[(2, i, "None") for i in (1, 3, 4, 5, 6, 7)]]
     few = vector_search.batch_knn(df, df.filter("id = 1"), "id", "v", 2).orderBy("rank").collect()
     assert [r.id for r in few] == [3, 6]
+
+
+def test_similar_pairs_matches_brute_force_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vector_search, "ROWS", 15)
+    data = [(i, v, g % 2) for i, v, g in _vectors(120, 4)] + [(7, [1.0, 1.0, 0.0, 0.0], 0), (500, None, 0), (501, [1.0], 0), (None, [1.0] * 4, 1), (502, [1.0] * 4, None)]
+    df = spark.createDataFrame(data, "id long, v array<float>, g int")
+    pairs = vector_search.similar_pairs(df, "id", "v", "g", 0.5)
+    want = []
+    for p, (i, x, g) in enumerate(data):
+        for j, y, h in data[p + 1:]:
+            if None in (i, j, g, h, x, y) or g != h or i == j or len(x) != len(y):
+                continue
+            n = _dot(x, x) * _dot(y, y)
+            c = _dot(x, y) / math.sqrt(n) if n else 0.0
+            if c >= 0.5:
+                want.append((min(i, j), max(i, j), c))
+    assert sorted((r.a, r.b, r.cosine) for r in pairs.collect()) == sorted(want)
+
+
+def test_similar_pairs_at_the_threshold(spark):
+    """1 / sqrt(2 * 2) is 0.5, as in SQL; the product of two rounded unit vectors is less."""
+    df = spark.createDataFrame([(1, [1.0, 1.0, 0.0], 0), (2, [1.0, 0.0, 1.0], 0)], "id long, v array<float>, g int")
+    assert [(r.a, r.b, r.cosine) for r in vector_search.similar_pairs(df, "id", "v", "g", 0.5).collect()] == [(1, 2, 0.5)]
