@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -73,6 +73,54 @@ def population_stability(expected: DataFrame, actual: DataFrame, value: str, edg
     return psi.withColumn("severity", F.when(p < 0.1, "none").when(p < 0.2, "low").when(p < 0.3, "medium").when(p < 0.5, "high").otherwise("critical"))
 
 
+def percentiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """(keys, a column of each name in ``wanted``), exact: ``("cont", p)`` interpolates, ``("disc", p)``
+    takes a value that is there; null where a group has no value, a null key is a group.
+
+    Equal values are counted, the counts lie in ranges of (keys, value) over the partitions and are
+    written once. Sums by range say in which ranges a rank falls; only these are summed value by
+    value, so that no task has more than a range."""
+    from pyspark.sql import Window as W
+
+    from ..sources import tables
+
+    names = [f"_k{i}" for i in range(len(keys))]
+    same = [F.col(k).alias(n) for k, n in zip(keys, names)]
+    v = F.col(value)
+    counted = df.select(*same, v.alias("_v")).groupBy(*names, "_v").agg(F.count("*").alias("_n"))
+    cells = tables.checkpoint(counted.repartitionByRange(*names, "_v").withColumn("_part", F.spark_partition_id()))
+    present = cells.filter("_v IS NOT NULL")
+    by = W.partitionBy(*names)
+    ranges = present.groupBy(*names, "_part").agg(F.sum("_n").alias("_in"))
+    ranges = ranges.withColumns({"_before": F.sum("_in").over(by.orderBy("_part").rowsBetween(W.unboundedPreceding, 0)) - F.col("_in"), "_all": F.sum("_in").over(by)})
+
+    def ranks(kind: str, p: float) -> tuple[Column, Column, Column]:
+        """First and second rank from 0, and the second's weight."""
+        if kind == "disc":
+            at = F.greatest(F.lit(1), F.col("_all") - F.floor(F.col("_all") - F.lit(float(p)) * F.col("_all"))) - 1
+            return at, at, F.lit(0.0)
+        at = F.lit(float(p)) * (F.col("_all") - 1)
+        return F.floor(at), F.ceil(at), at - F.floor(at)
+
+    asked = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"), ranks(*w)[side].cast("long").alias("rank"), ranks(*w)[2].alias("weight")) for name, w in wanted.items() for side in (0, 1)])
+    # Partitions and keys of a range are known to hold together; a null key equals a null key.
+    sought = ranges.select(*[F.col(n).alias(f"{n}r") for n in names], F.col("_part").alias("_at"), "_before", "_in", F.filter(asked, lambda x: (x.rank >= F.col("_before")) & (x.rank < F.col("_before") + F.col("_in"))).alias("_asked")).filter(F.size("_asked") > 0)
+    near = present.join(sought, [F.col("_part") == F.col("_at"), *[F.col(n).eqNullSafe(F.col(f"{n}r")) for n in names]])
+    upto = F.sum("_n").over(W.partitionBy(*names, "_part").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)) + F.col("_before")
+    hits = near.withColumn("_up", upto).select(*names, "_v", F.explode(F.filter("_asked", lambda x: (x.rank < F.col("_up")) & (x.rank >= F.col("_up") - F.col("_n")))).alias("_x"))
+    # One row a key, name and side; groups without a value come from the keys alone.
+    rows = hits.select(*names, "_v", "_x.*").unionByName(cells.select(*names).distinct(), allowMissingColumns=True)
+
+    def out(name: str, kind: str) -> Column:
+        lo, hi = (F.max(F.when((F.col("name") == name) & (F.col("side") == side), F.col("_v"))) for side in (0, 1))
+        if kind == "disc":
+            return lo.alias(name)
+        w = F.max(F.when(F.col("name") == name, F.col("weight")))
+        return F.when(lo == hi, lo.cast("double")).otherwise((1 - w) * lo + w * hi).alias(name)
+
+    return rows.groupBy(*names).agg(*[out(name, w[0]) for name, w in wanted.items()]).withColumnsRenamed(dict(zip(names, keys)))
+
+
 def approximate(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """Sketch-based distinct count, quantiles and their mergeable states."""
     return df.groupBy(*group).agg(

@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import geo, jsonpath, masking
-from ..operators import dml, sketches, temporal, vector_search
+from ..operators import dml, sketches, stats, temporal, vector_search
 from ..operators import text as fulltext
 from ..sources import tables
 from ..streaming import windows
@@ -128,18 +128,22 @@ def d_bloom(t):
 @query("d_t_digest", "SELECT l_returnflag, true AS median_fits, true AS tail_fits FROM lineitem GROUP BY 1")
 def d_t_digest(t):
     made = tables.checkpoint(sketches.t_digest(t.lineitem, ["l_returnflag"], "l_extendedprice"))
-    exact = t.lineitem.groupBy("l_returnflag").agg(F.percentile("l_extendedprice", F.array(*[F.lit(x) for x in (0.47, 0.53, 0.985, 0.995)])).alias("p"))
+    exact = stats.percentiles(t.lineitem, ["l_returnflag"], "l_extendedprice", {n: ("cont", x) for n, x in (("p0", 0.47), ("p1", 0.53), ("p2", 0.985), ("p3", 0.995))})
     out = exact.join(sketches.t_digest_quantile(made, ["l_returnflag"], 0.5).withColumnRenamed("value", "m"), "l_returnflag")
     out = out.join(sketches.t_digest_quantile(made, ["l_returnflag"], 0.99).withColumnRenamed("value", "h"), "l_returnflag")
-    return out.select("l_returnflag", F.col("m").between(F.col("p")[0], F.col("p")[1]).alias("median_fits"), F.col("h").between(F.col("p")[2], F.col("p")[3]).alias("tail_fits"))
+    return out.select("l_returnflag", F.col("m").between(F.col("p0"), F.col("p1")).alias("median_fits"), F.col("h").between(F.col("p2"), F.col("p3")).alias("tail_fits"))
 
 
 @query("d_approx_bounds", "SELECT l_returnflag, true AS distinct_fits, true AS median_fits FROM lineitem GROUP BY 1")
 def d_approx_bounds(t):
-    out = t.lineitem.groupBy("l_returnflag").agg(
-        F.approx_count_distinct("l_partkey", 0.02).alias("a"), F.countDistinct("l_partkey").alias("e"),
-        F.percentile_approx("l_quantity", 0.5, 1000).alias("m"), F.percentile("l_quantity", F.array(F.lit(0.48), F.lit(0.52))).alias("p"))
-    return out.select("l_returnflag", (F.abs(F.col("a") - F.col("e")) <= 0.1 * F.col("e")).alias("distinct_fits"), F.col("m").between(F.col("p")[0], F.col("p")[1]).alias("median_fits"))
+    # Sketches, distinct values and percentiles apart: together, each distinct value would hold a state of every percentile.
+    key = "l_returnflag"
+    guess = t.lineitem.groupBy(key).agg(F.approx_count_distinct("l_partkey", 0.02).alias("a"), F.percentile_approx("l_quantity", 0.5, 1000).alias("m"))
+    exact = t.lineitem.select(key, "l_partkey").distinct().groupBy(key).agg(F.count("l_partkey").alias("e"))
+    p = stats.percentiles(t.lineitem, [key], "l_quantity", {"lo": ("cont", 0.48), "hi": ("cont", 0.52)})
+    rows = guess.unionByName(exact, allowMissingColumns=True).unionByName(p, allowMissingColumns=True)
+    out = rows.groupBy(key).agg(*[F.max(c).alias(c) for c in ("a", "m", "e", "lo", "hi")])  # one row each
+    return out.select("l_returnflag", (F.abs(F.col("a") - F.col("e")) <= 0.1 * F.col("e")).alias("distinct_fits"), F.col("m").between(F.col("lo"), F.col("hi")).alias("median_fits"))
 
 
 # --- drift between two halves of a table, over fixed bins
