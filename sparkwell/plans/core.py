@@ -2,7 +2,10 @@
 
 Where a text has no second one, the same SQL runs on both engines."""
 
-from .base import sql
+from pyspark.sql import functions as F
+
+from ..operators import stats
+from .base import query, sql
 
 # --- projection and predicates
 
@@ -102,13 +105,20 @@ SELECT l_returnflag, l_linestatus, count(*) AS n, count(DISTINCT l_suppkey) AS s
   round(variance(l_quantity), 6) AS var, round(var_pop(l_quantity), 6) AS varp FROM lineitem GROUP BY l_returnflag, l_linestatus""")
 sql("d_count_col", """
 SELECT o_orderpriority, count(*) AS all_rows, count(NULLIF(o_orderstatus, 'F')) AS not_f, count(DISTINCT NULLIF(o_orderstatus, 'F')) AS kinds FROM orders GROUP BY o_orderpriority""")
-sql("d_percentiles", """
-SELECT l_returnflag, round(median(l_extendedprice), 4) AS med, round(percentile_cont(0.95) WITHIN GROUP (ORDER BY l_extendedprice), 4) AS p95,
-  percentile_disc(0.25) WITHIN GROUP (ORDER BY l_extendedprice) AS d25, round(percentile(l_quantity, 0.75) - percentile(l_quantity, 0.25), 4) AS iqr
-FROM lineitem GROUP BY l_returnflag""", """
+# Spark's percentile() keeps all values of a group in one task; the operator takes ranges of them.
+
+
+@query("d_percentiles", """
 SELECT l_returnflag, round(median(l_extendedprice), 4) AS med, round(quantile_cont(l_extendedprice, 0.95), 4) AS p95,
   quantile_disc(l_extendedprice, 0.25) AS d25, round(quantile_cont(l_quantity, 0.75) - quantile_cont(l_quantity, 0.25), 4) AS iqr
 FROM lineitem GROUP BY l_returnflag""")
+def d_percentiles(t):
+    price = stats.percentiles(t.lineitem, ["l_returnflag"], "l_extendedprice", {"med": ("cont", 0.5), "p95": ("cont", 0.95), "d25": ("disc", 0.25)})
+    amount = stats.percentiles(t.lineitem, ["l_returnflag"], "l_quantity", {"q1": ("cont", 0.25), "q3": ("cont", 0.75)}).withColumnRenamed("l_returnflag", "k")
+    return price.join(amount, F.col("l_returnflag").eqNullSafe(F.col("k"))).select(
+        "l_returnflag", F.round("med", 4).alias("med"), F.round("p95", 4).alias("p95"), "d25", F.round(F.col("q3") - F.col("q1"), 4).alias("iqr"))
+
+
 sql("d_string_agg", """
 SELECT n_regionkey, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name) AS names, listagg(n_name, '|') WITHIN GROUP (ORDER BY n_nationkey DESC) AS back FROM nation GROUP BY n_regionkey""",
     "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names, string_agg(n_name, '|' ORDER BY n_nationkey DESC) AS back FROM nation GROUP BY n_regionkey")

@@ -34,7 +34,7 @@ def test_percentiles_by_ranges_are_those_of_sql(spark):
     assert got == {x[0]: x[1:] for x in want}
 
 
-@pytest.mark.parametrize("name", ["d_t_digest", "d_approx_bounds"])
+@pytest.mark.parametrize("name", ["d_percentiles", "d_t_digest", "d_approx_bounds"])
 def test_no_task_holds_all_values_of_a_group(spark, name):
     plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "percentile(" not in plan and "percentile_cont(" not in plan and "percentiledisc(" not in plan.lower() and "median(" not in plan and "Expand" not in plan
