@@ -22,23 +22,45 @@ def count_min_estimate(sketch: DataFrame, values: DataFrame, col: str, depth: in
     return places.join(F.broadcast(sketch), ["row", "bucket"], "left").groupBy(col).agg(F.min(F.coalesce("n", F.lit(0))).alias("estimate"))
 
 
+#: Words of 64 bits in a block of a Bloom filter.
+WORDS = 32
+
+
 def bloom(df: DataFrame, col: str, expected: int, rate: float = 0.01) -> tuple[DataFrame, int, int]:
-    """(set bits as rows, number of bits, of hashes) for ``expected`` values."""
+    """(blocks as rows, number of blocks, of hashes) for ``expected`` values. All bits of a value lie
+    in one block of ``WORDS`` words, so that it goes to its block as one row, whatever the number of
+    hashes. Blocks fill unevenly, for which a twentieth of the bits is added."""
     bits = max(64, math.ceil(-expected * math.log(rate) / math.log(2) ** 2))
-    hashes = max(1, round(bits / expected * math.log(2)))
-    return df.select(F.explode(_bits(F.col(col), bits, hashes)).alias("bit")).distinct(), bits, hashes
+    hashes = max(1, round(bits / max(1, expected) * math.log(2)))
+    blocks = math.ceil(bits * 1.05 / (64 * WORDS))
+    placed = df.select(_block(F.col(col), blocks).alias("block"), F.xxhash64(col).alias("_h")).repartition("block")
+    at = placed.select("block", F.explode(F.array(*_places(F.col("_h"), hashes))).alias("_p"))
+    words = at.groupBy("block", F.shiftright("_p", 6).alias("_w")).agg(F.bit_or(_mask(F.col("_p"))).alias("_m"))
+    whole = F.array(*[F.coalesce(F.max(F.when(F.col("_w") == i, F.col("_m"))), F.lit(0).cast("long")) for i in range(WORDS)])
+    return words.groupBy("block").agg(whole.alias("words")), blocks, hashes
+
+
+def _block(c: Column, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(c, F.lit(-1)), F.lit(blocks))
+
+
+def _places(h: Column, hashes: int) -> list[Column]:
+    """Bits of a block, of a value's hash."""
+    return [F.pmod(F.xxhash64(h, F.lit(i)), F.lit(64 * WORDS)).cast("int") for i in range(hashes)]
 
 
-def _bits(c: Column, bits: int, hashes: int) -> Column:
-    return F.array(*[F.pmod(F.xxhash64(c, F.lit(i)), F.lit(bits)) for i in range(hashes)])
+def _mask(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.call_function("mod", place, F.lit(64)))
 
 
 def bloom_maybe(filter_: tuple[DataFrame, int, int], df: DataFrame, col: str) -> DataFrame:
     """(col, maybe): false only for values that are not in the set."""
-    rows, bits, hashes = filter_
-    asked = df.select(col).distinct().withColumn("bit", F.explode(_bits(F.col(col), bits, hashes))).distinct()
-    hit = asked.join(rows.withColumn("set", F.lit(1)), "bit", "left").groupBy(col).agg((F.count("*") == F.count("set")).alias("maybe"))
-    return hit
+    rows, blocks, hashes = filter_
+    asked = df.select(col, _block(F.col(col), blocks).alias("block")).repartition("block").groupBy("block", col).agg(F.first(F.xxhash64(col)).alias("_h"))
+    hit = F.lit(True)
+    for p in _places(F.col("_h"), hashes):
+        hit = hit & (F.get("words", F.shiftright(p, 6)).bitwiseAND(_mask(p)) != 0)
+    return asked.join(rows, "block", "left").select(col, F.coalesce(hit, F.lit(False)).alias("maybe"))
 
 
 def t_digest(df: DataFrame, keys: list[str], col: str, compression: int = 100) -> DataFrame:
